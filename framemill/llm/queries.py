@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import bpe, language_id, mixing, quality_rules, token_files, warc
 
 #: Words of the contract in DuckDB's regular expressions.
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -24,6 +24,32 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    main = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).filter("main IS NOT NULL").select("main.*")
+    return main.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.checksums(token_files.round_trip(_docs(spark, sf_dir), tokenizer("byte_bpe_50k.json")))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_docs(spark, sf_dir).select("doc_id", "text"), tokenizer("word_bpe_49k.json"), digests=True)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = language_id.learn(docs.select("doc_id", "text", "lang"))
+    return language_id.predict(docs.select("doc_id", "text", language_id.held_out(F.col("doc_id")).alias("held_out")), *model)
+
+
 OP1_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len({SQL_WORDS}) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM d GROUP BY source),
@@ -66,5 +92,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op7_quality_rules": op7_quality_rules}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op6_warc": op6_warc,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_token_files": op8_token_files,
+    "op9_bpe": op9_bpe,
+    "op10_language_id": op10_language_id,
+}
 ORACLES = {"op1_mixing": OP1_SQL, "op7_quality_rules": OP7_SQL}
