@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, language_id, mixing, quality_rules, token_files, warc
+from .shared import ship
 
 #: Words of the contract in DuckDB's regular expressions.
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -92,12 +95,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
-QUERIES = {
-    "op1_mixing": op1_mixing,
-    "op6_warc": op6_warc,
-    "op7_quality_rules": op7_quality_rules,
-    "op8_token_files": op8_token_files,
-    "op9_bpe": op9_bpe,
-    "op10_language_id": op10_language_id,
-}
+def _shipped(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (op1_mixing, op6_warc, op7_quality_rules, op8_token_files, op9_bpe, op10_language_id)}
 ORACLES = {"op1_mixing": OP1_SQL, "op7_quality_rules": OP7_SQL}

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,20 @@ def forget(spark: SparkSession, *paths: str) -> None:
 def spread(spark: SparkSession) -> int:
     """Partitions to ask for when rows are dealt out: what the session shuffles into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="framemill-")) / "framemill.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f"{root.name}/{f.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
