@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, quality_rules, token_files, warc
+from . import bpe, language_id, mixing, quality_rules, substring_dedup, suffix_dedup, token_files, warc
 from .shared import ship
 
 #: Words of the contract in DuckDB's regular expressions.
@@ -34,6 +34,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     main = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).filter("main IS NOT NULL").select("main.*")
     return main.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
@@ -104,5 +114,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_mixing, op6_warc, op7_quality_rules, op8_token_files, op9_bpe, op10_language_id)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_mixing, op3_substring_dedup, op4_suffix_dedup, op6_warc, op7_quality_rules, op8_token_files, op9_bpe, op10_language_id)}
 ORACLES = {"op1_mixing": OP1_SQL, "op7_quality_rules": OP7_SQL}

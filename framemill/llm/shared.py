@@ -8,6 +8,7 @@ the session; only where it is unset (tests, a laptop) one is chosen here.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -70,3 +71,9 @@ def ship(spark: SparkSession) -> None:
             out.write(f, f"{root.name}/{f.relative_to(root)}")
     spark.sparkContext.addPyFile(str(archive))
     _SHIPPED.add(app)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results have been written; it does so when their objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
