@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, quality_rules, substring_dedup, suffix_dedup, token_files, warc
+from . import bpe, language_id, mixing, quality_rules, substring_dedup, suffix_dedup, token_files, topk, warc
 from .shared import ship
 
 #: Words of the contract in DuckDB's regular expressions.
@@ -34,6 +34,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup(_docs(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -88,6 +93,15 @@ took AS (SELECT rid, sum(greatest(0, least(start + size, block * 256 + take) - g
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM pl LEFT JOIN took USING (rid)
 """
 
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 OP7_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
@@ -114,5 +128,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_mixing, op3_substring_dedup, op4_suffix_dedup, op6_warc, op7_quality_rules, op8_token_files, op9_bpe, op10_language_id)}
-ORACLES = {"op1_mixing": OP1_SQL, "op7_quality_rules": OP7_SQL}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_mixing, op2_topk, op3_substring_dedup, op4_suffix_dedup, op6_warc, op7_quality_rules, op8_token_files, op9_bpe, op10_language_id)}
+ORACLES = {"op1_mixing": OP1_SQL, "op2_topk": OP2_SQL, "op7_quality_rules": OP7_SQL}
