@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, quality_rules, substring_dedup, suffix_dedup, token_files, topk, warc
+from . import bpe, jaccard, language_id, mixing, quality_rules, substring_dedup, suffix_dedup, token_files, topk, warc
 from .shared import ship
 
 #: Words of the contract in DuckDB's regular expressions.
@@ -49,6 +49,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     main = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).filter("main IS NOT NULL").select("main.*")
     return main.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
@@ -102,6 +106,19 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_transform({SQL_WORDS}, lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+s AS (SELECT doc_id, rid, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM d),
+n AS (SELECT doc_id, rid, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
+t AS (SELECT rid, unnest(s) AS g FROM s),
+o AS (SELECT x.rid AS a, y.rid AS b, count(*) AS shared FROM t x JOIN t y ON x.g = y.g AND x.rid < y.rid GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * shared >= 85 * (x.n_shingles + y.n_shingles - shared)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT rid, rid FROM n),
+p AS MATERIALIZED (WITH RECURSIVE r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT * FROM r)
+SELECT x.doc_id, x.n_shingles, min(y.doc_id) AS component_id FROM p JOIN n x ON x.rid = p.a JOIN n y ON y.rid = p.b GROUP BY x.rid, x.doc_id, x.n_shingles
+"""
+
 OP7_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
@@ -128,5 +145,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_mixing, op2_topk, op3_substring_dedup, op4_suffix_dedup, op6_warc, op7_quality_rules, op8_token_files, op9_bpe, op10_language_id)}
-ORACLES = {"op1_mixing": OP1_SQL, "op2_topk": OP2_SQL, "op7_quality_rules": OP7_SQL}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_mixing, op2_topk, op3_substring_dedup, op4_suffix_dedup, op5_jaccard, op6_warc, op7_quality_rules, op8_token_files, op9_bpe, op10_language_id)}
+ORACLES = {"op1_mixing": OP1_SQL, "op2_topk": OP2_SQL, "op5_jaccard": OP5_SQL, "op7_quality_rules": OP7_SQL}
