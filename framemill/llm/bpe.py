@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Remembered pieces; the table is emptied when it is full.
 CACHE = 400_000
@@ -186,7 +187,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", digests: bool
     """
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     keep = [c for c in docs.columns if c not in new and not (digests and c == text)]
-    kinds = ["long", "string", "string"] if digests else ["long", "array<int>", "string"]
+    kinds = ["long", "string", "string"] if digests else ["long", ArrayType(IntegerType()), "string"]
     schema = docs.select(*keep).schema
     for name, kind in zip(new, kinds, strict=True):
         schema = schema.add(name, kind)

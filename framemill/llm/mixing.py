@@ -151,3 +151,25 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.lit(1)).otherwise(F.col("_rows"))
     took = took.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return took.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix itself: a row for each use of a document, with the columns of docs and the words that the use takes as its text.
+
+    A use that takes all words has the text as it was; another has its words
+    joined by a space.  n_chars, if there is one, is that of the new text.
+    """
+    named = docs.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(1))).withColumn("_g", F.xxhash64("text", F.lit(2), "source"))
+    placed, slots = place(named, ("_h", "_g"), block)
+    uses = pieces(placed, slots, block).filter("words > 0").groupBy("src", "start", "size", "_h", "_g", "epoch").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
+    # Equal rows are told apart by a number; it is compared, not joined on, so both sides stay dealt by the row's name.
+    same = Window.partitionBy("_h", "_g")
+    uses = uses.withColumn("_use", F.dense_rank().over(same.orderBy("start"))).withColumnRenamed("_h", "_uh").withColumnRenamed("_g", "_ug")
+    rows = named.withColumn("_row", F.row_number().over(same.orderBy("_h")))
+    taken = rows.join(uses, (F.col("_h") == F.col("_uh")) & (F.col("_g") == F.col("_ug")) & (F.abs(F.col("_row") - F.col("_use")) < 1))
+    words = F.slice(F.array_remove(F.split("text", SPACE), ""), (F.col("first") + 1).cast("int"), F.col("words").cast("int"))
+    text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " "))
+    out = taken.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

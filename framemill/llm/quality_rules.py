@@ -135,5 +135,8 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text")
     verdict = F.when(base_failed(), F.lit("base"))
     for r in order_rules(measured, rules):
         verdict = verdict.when(r.reject(), F.lit(r.name))
+    # A filter on the verdict must not be pushed below the measures, which would be derived again inside
+    # their own lambdas; Spark leaves a filter above a projection that is not deterministic.
+    verdict = F.when(F.monotonically_increasing_id() >= 0, verdict)
     out = measured.withColumn("base_failed", base_failed()).withColumn("rejected_by", verdict)
     return out.withColumn("kept", F.col("rejected_by").isNull()).drop("_n_lines")

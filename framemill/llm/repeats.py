@@ -291,8 +291,11 @@ def _left(raw: np.ndarray, units: np.ndarray, gone: np.ndarray, starts: np.ndarr
     return np.append(raw, np.uint8(32))[where[drop]], np.concatenate([[0], np.cumsum(size_by_text)])
 
 
-def remove(docs: DataFrame, kind: Kind, classes: Callable[[DataFrame], DataFrame] = classes_by_join) -> DataFrame:
-    """docs without text, with n_units, n_removed, n_spans and ``kept`` (binary): the units left, words joined by a space."""
+def remove(docs: DataFrame, kind: Kind, classes: Callable[[DataFrame], DataFrame] = classes_by_join, characters: bool = False) -> DataFrame:
+    """docs without text, with n_units, n_removed, n_spans and ``kept`` (binary): the units left, words joined by a space.
+
+    With characters, bytes of a UTF-8 character that a stretch cuts go with it, so that kept stays text; the counts are unchanged.
+    """
     new = ("n_units", "n_removed", "n_spans", "kept")
     named = keyed(docs.drop("_h", "_g", "runs", *new))
     runs = repeated(named, kind, classes)
@@ -311,7 +314,11 @@ def remove(docs: DataFrame, kind: Kind, classes: Callable[[DataFrame], DataFrame
                 step = np.zeros(int(units[-1]) + 1, np.int32)
                 np.add.at(step, a, 1)
                 np.add.at(step, b, -1)
-                left, at = _left(raw, units, np.cumsum(step)[:-1] > 0, starts, ends)
+                gone = np.cumsum(step)[:-1] > 0
+                if characters and len(raw):
+                    of = np.cumsum((raw & 0xC0) != 0x80)
+                    gone = (np.bincount(of, weights=gone) > 0)[of]
+                left, at = _left(raw, units, gone, starts, ends)
                 removed = np.bincount(text, weights=b - a, minlength=hi - lo).astype(np.int64)
                 spans = np.bincount(text, minlength=hi - lo)
                 kept = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(left.tobytes())])

@@ -93,7 +93,7 @@ def classes_by_sort(found: DataFrame) -> DataFrame:
     return inner.unionByName(ends.join(by_anchor, "anchor"))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs without text, with n_bytes, n_removed, n_spans and kept (the bytes left)."""
-    out = remove(docs.drop("n_bytes"), Kind(words=False, length=length, gram=gram), classes_by_sort)
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, characters: bool = False) -> DataFrame:
+    """docs without text, with n_bytes, n_removed, n_spans and kept (the bytes left; with characters, whole characters)."""
+    out = remove(docs.drop("n_bytes"), Kind(words=False, length=length, gram=gram), classes_by_sort, characters)
     return out.withColumnRenamed("n_units", "n_bytes")
