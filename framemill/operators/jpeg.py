@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ def huffman(counts: tuple[int, ...], symbols: tuple[int, ...]) -> list[tuple[int
 
 
 def luma_blocks(rgb: DataFrame) -> DataFrame:
-    """frame_id, by, bx, u, w, c: shifted luma samples of 8 by 8 blocks."""
-    return rgb.select("frame_id", div(F.col("y"), 8).alias("by"), div(F.col("x"), 8).alias("bx"), (F.col("y") % 8).alias("u"), (F.col("x") % 8).alias("w"), ycc_luma().cast("int").alias("c"))
+    """frame_id, block_y, block_x, u, w, c: shifted luma samples of 8 by 8 blocks."""
+    return rgb.select("frame_id", div(F.col("y"), 8).alias("block_y"), div(F.col("x"), 8).alias("block_x"), (F.col("y") % 8).alias("u"), (F.col("x") % 8).alias("w"), ycc_luma().cast("int").alias("c"))
 
 
 def chroma_420(rgb: DataFrame) -> DataFrame:
@@ -72,46 +74,50 @@ def fdct_matrix() -> list[list[int]]:
 
 
 def fdct(blocks: DataFrame) -> DataFrame:
-    """frame_id, by, bx, u, w, c: the integer transform of each block, scaled by 8.
+    """frame_id, block_y, block_x, u, w, c: the integer transform of each block, scaled by 8.
 
     Separable: one aggregate over the samples of a block, whose 64 results leave
     it together, so a block is shuffled once.
     """
-    m = fdct_matrix()
-    block = blocks.groupBy("frame_id", "by", "bx").agg(F.transform(F.array_sort(F.collect_list(F.struct("u", "w", "c"))), lambda s: s["c"].cast("bigint")).alias("s"))
+    weights = F.array(*[F.lit(w).cast("bigint") for row in fdct_matrix() for w in row])
+    block = blocks.groupBy("frame_id", "block_y", "block_x").agg(F.transform(F.array_sort(F.collect_list(F.struct("u", "w", "c"))), lambda s: s["c"].cast("bigint")).alias("s"))
+    block = block.withColumn("m", weights)
+    high, low = (lambda p: F.floor(p / 8).cast("int")), (lambda p: p % 8)
+    eight, zero = F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("bigint")
 
-    def weigh(name: str, k: int, places: list[int], shift: int) -> Column:
-        total = sum((F.get(name, p) * m[k][n] for n, p in enumerate(places[1:], 1)), F.get(name, places[0]) * m[k][0])
-        return F.shiftright(total + (1 << (shift - 1)), shift)
+    def pass_over(name: str, place: Callable[[Column, Column], Column], row: Callable[[Column], Column], shift: int) -> Column:
+        one = lambda p: F.aggregate(eight, zero, lambda total, n: total + F.get(name, place(p, n)) * F.get("m", row(p) * 8 + n))
+        # Its second use keeps the array a column of its own, not an expression inside the lambda.
+        return F.transform(F.sequence(F.lit(0), F.size(name) - 1), lambda p: F.shiftright(one(p) + (1 << (shift - 1)), shift))
 
-    block = block.withColumn("t", F.array(*[weigh("s", k, [u * 8 + n for n in range(8)], 11) for u in range(8) for k in range(8)]))
-    both = F.array(*[weigh("t", k, [n * 8 + w for n in range(8)], 15) for k in range(8) for w in range(8)])
-    out = block.select("frame_id", "by", "bx", F.posexplode(both).alias("p", "c"))
-    return out.select("frame_id", "by", "bx", div(F.col("p"), 8).alias("u"), (F.col("p") % 8).alias("w"), F.col("c").cast("int").alias("c"))
+    block = block.withColumn("t", pass_over("s", lambda p, n: high(p) * 8 + n, low, 11))
+    both = pass_over("t", lambda p, n: n * 8 + low(p), high, 15)
+    out = block.select("frame_id", "block_y", "block_x", F.posexplode(both).alias("p", "c"))
+    return out.select("frame_id", "block_y", "block_x", div(F.col("p"), 8).alias("u"), (F.col("p") % 8).alias("w"), F.col("c").cast("int").alias("c"))
 
 
 def quantise(coefficients: DataFrame, table: list[int]) -> DataFrame:
-    """frame_id, by, bx, k, q: quantised in zigzag order, halves away from zero."""
+    """frame_id, block_y, block_x, k, q: quantised in zigzag order, halves away from zero."""
     spot = {place: k for k, place in enumerate(fixed.ZIGZAG)}
     place = F.col("u") * 8 + F.col("w")
     k = F.get(F.array(*[F.lit(spot[i]) for i in range(64)]), place)
     d = F.get(F.array(*[F.lit(8 * t) for t in table]), place)
     size = F.floor((F.abs("c") + F.floor(d / 2)) / d)
-    return coefficients.select("frame_id", "by", "bx", k.alias("k"), (F.signum("c") * size).cast("int").alias("q"))
+    return coefficients.select("frame_id", "block_y", "block_x", k.alias("k"), (F.signum("c") * size).cast("int").alias("q"))
 
 
 def dc_delta(quantised: DataFrame) -> DataFrame:
-    """frame_id, by, bx, diff, size: differences of the first coefficients in block order, and their bit sizes.
+    """frame_id, block_y, block_x, diff, size: differences of the first coefficients in block order, and their bit sizes.
 
     Differences inside a row of blocks, and the last value of the row before:
     neither window holds a frame.
     """
-    dc = quantised.filter("k = 0").select("frame_id", "by", "bx", "q")
-    last = dc.groupBy("frame_id", "by").agg(F.max_by("q", "bx").alias("_end")).withColumn("by", F.col("by") + 1)
-    inside = F.lag("q").over(Window.partitionBy("frame_id", "by").orderBy("bx"))
-    d = dc.withColumn("_before", inside).join(last, ["frame_id", "by"], "left")
+    dc = quantised.filter("k = 0").select("frame_id", "block_y", "block_x", "q")
+    last = dc.groupBy("frame_id", "block_y").agg(F.max_by("q", "block_x").alias("_end")).withColumn("block_y", F.col("block_y") + 1)
+    inside = F.lag("q").over(Window.partitionBy("frame_id", "block_y").orderBy("block_x"))
+    d = dc.withColumn("_before", inside).join(last, ["frame_id", "block_y"], "left")
     diff = F.col("q") - F.coalesce(F.col("_before"), F.col("_end"), F.lit(0))
-    return d.select("frame_id", "by", "bx", diff.cast("int").alias("diff"), bit_size(diff).alias("size"))
+    return d.select("frame_id", "block_y", "block_x", diff.cast("int").alias("diff"), bit_size(diff).alias("size"))
 
 
 def bit_size(v: Column) -> Column:
@@ -119,24 +125,24 @@ def bit_size(v: Column) -> Column:
 
 
 def ac_runs(quantised: DataFrame) -> DataFrame:
-    """frame_id, by, bx, k, run, size, zrls: every coefficient that is not zero after the first; the end of a block has k 64."""
-    w = Window.partitionBy("frame_id", "by", "bx").orderBy("k")
+    """frame_id, block_y, block_x, k, run, size, zrls: every coefficient that is not zero after the first; the end of a block has k 64."""
+    w = Window.partitionBy("frame_id", "block_y", "block_x").orderBy("k")
     ac = quantised.filter("k > 0 AND q <> 0")
     run = F.col("k") - F.coalesce(F.lag("k").over(w), F.lit(0)) - 1
-    found = ac.withColumn("_run", run).select("frame_id", "by", "bx", "k", (F.col("_run") % 16).cast("int").alias("run"), bit_size(F.col("q")).alias("size"), div(F.col("_run"), 16).alias("zrls"))
-    ends = quantised.groupBy("frame_id", "by", "bx").agg(F.max(F.when((F.col("k") > 0) & (F.col("q") != 0), F.col("k"))).alias("_last")).filter("_last IS NULL OR _last < 63")
+    found = ac.withColumn("_run", run).select("frame_id", "block_y", "block_x", "k", (F.col("_run") % 16).cast("int").alias("run"), bit_size(F.col("q")).alias("size"), div(F.col("_run"), 16).alias("zrls"))
+    ends = quantised.groupBy("frame_id", "block_y", "block_x").agg(F.max(F.when((F.col("k") > 0) & (F.col("q") != 0), F.col("k"))).alias("_last")).filter("_last IS NULL OR _last < 63")
     zero = F.lit(0)
-    return found.unionByName(ends.select("frame_id", "by", "bx", F.lit(64).alias("k"), zero.alias("run"), zero.alias("size"), zero.alias("zrls")))
+    return found.unionByName(ends.select("frame_id", "block_y", "block_x", F.lit(64).alias("k"), zero.alias("run"), zero.alias("size"), zero.alias("zrls")))
 
 
 def dc_codes(deltas: DataFrame) -> DataFrame:
-    """frame_id, by, bx, code, len: the Huffman code and the mantissa of each difference as one string of bits."""
+    """frame_id, block_y, block_x, code, len: the Huffman code and the mantissa of each difference as one string of bits."""
     table = huffman(*fixed.DC_LUMA)
     spark: SparkSession = deltas.sparkSession
     h = spark.createDataFrame([(s, c, n) for s, c, n in table], "size int, _c int, _n int")
     bits = F.when(F.col("diff") < 0, F.col("diff") + F.call_function("shiftleft", F.lit(1), F.col("size")) - 1).otherwise(F.col("diff"))
     d = deltas.join(F.broadcast(h), "size")  # twelve rows
-    return d.select("frame_id", "by", "bx", (F.call_function("shiftleft", F.col("_c").cast("bigint"), F.col("size")) + bits).alias("code"), (F.col("_n") + F.col("size")).alias("len"))
+    return d.select("frame_id", "block_y", "block_x", (F.call_function("shiftleft", F.col("_c").cast("bigint"), F.col("size")) + bits).alias("code"), (F.col("_n") + F.col("size")).alias("len"))
 
 
 def bit_pack(codes: DataFrame) -> DataFrame:
@@ -146,11 +152,11 @@ def bit_pack(codes: DataFrame) -> DataFrame:
     first, then inside the row.  A code touches few bytes and each byte is the
     union of what touches it.
     """
-    sums = codes.groupBy("frame_id", "by").agg(F.sum("len").alias("_n"))
-    before = Window.partitionBy("frame_id").orderBy("by").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("frame_id", "by", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("frame_id", "by").orderBy("bx").rowsBetween(Window.unboundedPreceding, -1)
-    c = codes.withColumn("_in", F.coalesce(F.sum("len").over(inside), F.lit(0))).join(base, ["frame_id", "by"])
+    sums = codes.groupBy("frame_id", "block_y").agg(F.sum("len").alias("_n"))
+    before = Window.partitionBy("frame_id").orderBy("block_y").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("frame_id", "block_y", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("frame_id", "block_y").orderBy("block_x").rowsBetween(Window.unboundedPreceding, -1)
+    c = codes.withColumn("_in", F.coalesce(F.sum("len").over(inside), F.lit(0))).join(base, ["frame_id", "block_y"])
     c = c.withColumn("off", F.col("_base") + F.col("_in")).select("frame_id", "off", "code", "len")
     end = sums.groupBy("frame_id").agg(F.sum("_n").alias("off")).withColumn("len", F.pmod(-F.col("off"), F.lit(8))).filter("len > 0")
     ones = end.select("frame_id", "off", (F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("len").cast("int")) - 1).alias("code"), F.col("len").cast("int").alias("len"))

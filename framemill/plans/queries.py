@@ -81,7 +81,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headers(spark, sf_dir).select("frame_id", *raw.header_fields(F.col("header")))
+    return headers(spark, sf_dir).select("frame_id", *raw.header_fields(F.col("header"))).filter("width IS NOT NULL")
 
 
 def wb_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +255,7 @@ def huff_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fdct8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.fdct(jpeg.luma_blocks(_rgb8(spark, sf_dir))).select("by", "bx", "u", "w", "c")
+    return jpeg.fdct(jpeg.luma_blocks(_rgb8(spark, sf_dir))).select("block_y", "block_x", "u", "w", "c")
 
 
 def _quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,15 +263,15 @@ def _quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantize_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quantised(spark, sf_dir).select("by", "bx", "k", "q")
+    return _quantised(spark, sf_dir).select("block_y", "block_x", "k", "q")
 
 
 def dc_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.dc_delta(_quantised(spark, sf_dir)).select("by", "bx", "diff", "size")
+    return jpeg.dc_delta(_quantised(spark, sf_dir)).select("block_y", "block_x", "diff", "size")
 
 
 def ac_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.ac_runs(_quantised(spark, sf_dir)).select("by", "bx", "k", "run", "size", "zrls")
+    return jpeg.ac_runs(_quantised(spark, sf_dir)).select("block_y", "block_x", "k", "run", "size", "zrls")
 
 
 def bit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
