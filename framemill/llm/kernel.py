@@ -164,6 +164,6 @@ class Occurrences:
         self.text = text[heads]
         self.first = heads - off[self.text]
         self.count = tails - heads + 1
-        self.anchor = grams[at]
+        self.anchor = finish(grams[at] ^ U(0xA0761D6478BD642F))  # the smallest hashes, spread out again
         shape = ((at - heads).astype(U) << U(32)) | self.count.astype(U)
         self.context = finish(self.rolling.run(heads, tails + length) + finish(shape + U(1)))

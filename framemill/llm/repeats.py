@@ -218,7 +218,8 @@ def _compare_far(rows: DataFrame, kind: Kind) -> DataFrame:
                 cols = [_long(hashes), *(pa.array(np.repeat(part.column(c).to_numpy(), counts)) for c in ("anchor", "context", "n")), pa.array(place.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=["window", "anchor", "context", "n", "place"])
 
-    far, path = materialise(rows.select("anchor", "context", "n", "content").mapInArrow(explode, "window long, anchor long, context long, n long, place int"), "repeat-windows")
+    dealt = rows.select("anchor", "context", "n", "content").repartition("anchor", "context")
+    far, _ = materialise(dealt.mapInArrow(explode, "window long, anchor long, context long, n long, place int"), "repeat-windows")
     again = far.groupBy("window").agg(F.sum("n").alias("_n")).filter("_n > 1").select("window")
     marked = far.join(again, "window").groupBy("anchor", "context").agg(F.sort_array(F.collect_list("place")).alias("p"))
     starts = F.filter("p", lambda x, i: F.coalesce(F.get("p", i - 1) + 1 != x, F.lit(True)))
