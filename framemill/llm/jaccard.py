@@ -161,16 +161,21 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(field.astype(np.uint8), bitorder="little").view(U)
 
 
-def _signed(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Rows (sig, key), and for every node a row (key, n, bits)."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def _signed(docs: DataFrame, levels: np.ndarray, speakers: tuple[int, np.ndarray], words: int, percent: int) -> DataFrame:
+    """Rows (sig, key), and for every node a row (key, n, bits).
+
+    Of equal sets the document with the smallest id speaks; what else passes the
+    filter of speakers is a harmless repetition.
+    """
+    shared, spoken = (docs.sparkSession.sparkContext.broadcast(x) for x in (levels, speakers))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
             keys, sizes, bits, sigs = [], [], [], []
-            for _, found in shingle_sets(batch.column(0), words):
-                if not len(found) or (key := key_of(found)) in known:
+            ids = batch.column("_id").to_numpy()
+            for i, found in shingle_sets(batch.column("text"), words):
+                if not len(found) or (key := key_of(found)) in known or not may_hold(spoken.value, (ids[i : i + 1] ^ np.int64(key)).view(U))[0]:
                     continue
                 if len(known) >= REMEMBERED:
                     known.clear()
@@ -186,7 +191,7 @@ def _signed(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts)), none.cast(pa.int64()), none.cast(pa.binary())], names=["sig", "key", "n", "bits"])
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["sig", "key", "n", "bits"])
 
-    return docs.select("text").mapInArrow(work, "sig long, key long, n long, bits binary")
+    return docs.select("text", F.xxhash64("doc_id").alias("_id")).mapInArrow(work, "sig long, key long, n long, bits binary")
 
 
 def _sieved(rows: DataFrame, column: str, sieve: tuple[int, np.ndarray]) -> DataFrame:
@@ -363,7 +368,8 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     rows, _ = materialise(_nodes_and_sketch(docs, words), "jaccard-rows")
     plain = rows.filter("slice IS NULL").select("doc_id", "n", "key")
     total = plain.agg(F.sum("n")).first()[0] or 0
-    signed, p1 = materialise(_signed(docs, _classes(rows, total), words, percent), "jaccard-signed")
+    speakers = plain.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("low")).select(F.xxhash64("low").bitwiseXOR(F.col("key")).alias("speaker"))
+    signed, p1 = materialise(_signed(docs, _classes(rows, total), bloom(speakers, "speaker", speakers.count()), words, percent), "jaccard-signed")
     settle(spark)
     members = lists(signed)
     forget(spark, p1)
