@@ -131,10 +131,10 @@ def _search(tree: BallTree, queries: np.ndarray, floor: np.ndarray, own: np.ndar
 
 def _shard(pdf: pd.DataFrame, k: int, first: bool) -> pd.DataFrame:
     """One shard against one block of queries."""
-    columns = ["query_id", "copy", "vec_id", "score"] if not first else ["query_id", "copy", "scores"]
+    kinds = {"query_id": "int64", "copy": "int32"} | ({"scores": object} if first else {"vec_id": "int64", "score": "int64"})
     cand, asks = pdf[pdf["floor"].isna() & ~pdf["ask"]], pdf[pdf["ask"]]
     if not len(cand) or not len(asks):
-        return pd.DataFrame({c: [] for c in columns})
+        return pd.DataFrame({c: pd.Series([], dtype=k) for c, k in kinds.items()})
     cand, asks = cand.sort_values("vec_id"), asks.sort_values(["vec_id", "copy"])
     points, queries = np.stack(cand["v"].to_numpy()).astype(np.float64), np.stack(asks["v"].to_numpy()).astype(np.float64)
     ids = cand["vec_id"].to_numpy()
