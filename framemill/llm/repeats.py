@@ -34,8 +34,8 @@ from .filters import bloom, may_hold
 from .kernel import U
 from .shared import forget, materialise, settle
 
-#: Classes of an anchor that are compared in one task.
-SPLIT = 256
+#: Classes of an anchor that are compared in one task: less than 8 MB of content.
+SPLIT = 16384
 #: Bytes of content that are compared at once, unless one anchor has more.
 STEP = 4 << 20
 
