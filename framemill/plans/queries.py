@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.exprs import le_bytes, u32_at
-from ..operators import grid, jpeg, pointwise, stencil, wavelet
+from ..operators import grid, jpeg, pointwise, stencil, tiff, wavelet
 from ..sources import bridges, raw
 from ..streaming import delivery
 
@@ -298,14 +298,26 @@ def peer_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.newest_peer(bridges.messages(spark, sf_dir))
 
 
-def render_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages from the plane to the sharpened image."""
-    arrays = grid.as_arrays(_blended(spark), grid.smooth(_fade(spark, sf_dir)))
-    height = _height(spark, sf_dir)
-    p = bridges.bayer_structured(spark, sf_dir).join(F.broadcast(arrays), "frame_id")
-    quiet = wavelet.denoise(pointwise.black_wb(p, gain=grid.gain(W, height)).select("frame_id", "y", "x", "v"), W, height)
-    rgb = pointwise.look(stencil.demosaic(quiet, W, height))
-    return stencil.unsharp(rgb, pointwise.luma709_fixed(), W).select("y", "x", "r", "g", "b")
+def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame for each nation, with what the containers need; some lack exposure, sensitivity or a maker."""
+    k = F.col("n_nationkey")
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        k.cast("int").alias("frame_id"), (k * 100 + 128).cast("bigint").alias("width"), (k * 10 + 64).cast("bigint").alias("height"), F.lit("2024:01:02 03:04:05").alias("datetime"),
+        (65536 + k * 999).cast("bigint").alias("r"), F.lit(65536).cast("bigint").alias("g"), (65536 + k * 777).cast("bigint").alias("b"),
+        F.when(k % 4 == 0, 0).otherwise(k * 1000).cast("bigint").alias("exposure_us"), F.when(k % 3 == 0, 0).otherwise(k * 100).cast("bigint").alias("iso"),
+        *[F.lit(v).alias(n) for n, v in (("fnum_n", 2), ("fnum_d", 1), ("focal_n", 49), ("focal_d", 10))],
+        F.when(k % 5 != 0, F.col("n_name")).alias("make"), F.lit("D5503").alias("model"), F.lit(1).alias("orientation"),
+    )
+
+
+def ifd_dng(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes before the strip of a DNG file."""
+    return tiff.dng_prefix(_shots(spark, sf_dir)).select("frame_id", "entries", "exif_at", F.octet_length("prefix").alias("size"), F.hex("prefix").alias("prefix"))
+
+
+def ifd_exif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The EXIF segment of a JPEG file."""
+    return tiff.app1(_shots(spark, sf_dir)).select("frame_id", F.hex("segment").alias("segment"))
 
 
 QUERIES: dict[str, Query] = {
@@ -314,6 +326,6 @@ QUERIES: dict[str, Query] = {
         black_wb_stats, black_wb, bayer_structured, unpack10_documents, unpack10_pages, read_u32, header_fields, wb_gains, wb_ratio, exif_fields, lsc_parse, lsc_warmth,
         lsc_blend, lsc_cell_max, lsc_safe_fraction, fade_smooth, black_wb_lsc, hadamard_fwd, hadamard_roundtrip, haar_levels, mad_sigma, band_stddev, bayes_shrink,
         bayer_nr, demosaic_border, demosaic_mhc, color_matrix, exposure, saturation, tone_gamma, luma709_fixed, blur_h, blur_v, unsharp, rgb_to_ycc, chroma_420,
-        quality_table, huff_table, fdct8x8, quantize_zigzag, dc_delta, ac_rle, bit_pack, frame_messages, message_chunks, sink_route, peer_latest, render_frame,
+        quality_table, huff_table, fdct8x8, quantize_zigzag, dc_delta, ac_rle, bit_pack, frame_messages, message_chunks, sink_route, peer_latest, ifd_dng, ifd_exif,
     )
 }
