@@ -61,10 +61,14 @@ def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> tuple[list[str], np
     task, which the bound makes small, and a vector for each goes to the driver.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    share = labelled.groupBy("lang").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
-    spot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("learn")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.select("lang", "text", spot.alias("_spot")).join(share, "lang").filter("_spot < _share")
     size = 1 << CELL_BITS
+    # A count for each language, of which the model has a vector anyway; joined, the texts would be shuffled.
+    found = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not found:
+        return [], np.zeros((size, 0), np.float32)
+    share = F.create_map(*[F.lit(x) for lang, n in found.items() for x in (lang, rows / n)])
+    spot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("learn")), F.lit(1 << 30)) / float(1 << 30)
+    drawn = labelled.filter(spot < F.element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
