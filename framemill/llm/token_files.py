@@ -15,6 +15,7 @@ files without rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import scratch_path, spread
+from .shared import materialise, scratch_path, spread
 
 #: Bytes of a row group and of a page, rows of a page at most; remembered pieces.
 ROW_GROUP = 16 << 20
@@ -37,6 +38,12 @@ CACHE = 400_000
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
+# The same pieces for texts of letters below U+0250, in the faster of the two pattern engines.
+_DIGIT, _SPACE = "0-9²³¹¼½¾", " \\t-\\r\\x85\\xa0"
+_LETTER = "[^\\W\\d_²³¹¼½¾]"
+PLAIN_PIECES = f" ?{_LETTER}+| ?[{_DIGIT}]+|'(?:[stmd]|re|ve|ll)| ?(?:[^\\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+
+
 class Encoder:
     """The tokenizers library, asked once for each different piece of text."""
 
@@ -46,25 +53,46 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.pieces = regex.compile(PIECES)
+        self.pieces, self.plain_pieces = regex.compile(PIECES), re.compile(PLAIN_PIECES)
+        self.unusual, self.word = re.compile("[^\x00-\u024f]"), re.compile(f" ?{_LETTER}+")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def piece(self, piece: str) -> bytes:
-        got = np.asarray(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) >= CACHE:
+    def learn(self, new: set[str]) -> None:
+        """Ask for pieces that are not known.  Words keep apart in one text, by their spaces or by line ends, so one call serves them all."""
+        if len(self.known) + len(new) > CACHE:
             self.known.clear()
-        self.known[piece] = got
-        return got
-
-    def encode(self, text: str | None) -> bytes:
+        for lead, between, step in ((" ", "", 1), ("", "\n", 2)):
+            words = [p for p in new if p.startswith(" ") == (lead == " ") and self.word.fullmatch(p)]
+            if words:  # a line end between two words is a piece of its own
+                got = self.library.encode(between.join(words), add_special_tokens=False)
+                ids, owner = np.asarray(got.ids, "<u4"), np.asarray(got.word_ids)
+                first, end = (np.searchsorted(owner, step * np.arange(len(words)) + k).tolist() for k in (0, 1))
+                for p, x, y in zip(words, first, end, strict=True):
+                    self.known[p] = ids[x:y].tobytes()
+        for p in new:
+            if p not in self.known:
+                self.known[p] = np.asarray(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """ids as little-endian 32-bit integers; texts with a special token in them go to the library whole."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known = self.known.get
-        return b"".join([known(p) or self.piece(p) for p in self.pieces.findall(text)])
+        split: list[list[str] | bytes] = []
+        for t in texts:
+            if t and any(s in t for s in self.special):
+                split.append(np.asarray(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                split.append((self.pieces if self.unusual.search(t or "") else self.plain_pieces).findall(t or ""))
+        new: set[str] = set()
+        for pieces in split:
+            if isinstance(pieces, list):
+                new.update(pieces)
+        new = {p for p in new if p not in self.known}
+        if new:
+            if len(self.known) + len(new) > CACHE:  # what these texts hold is asked for again
+                new = {p for pieces in split if isinstance(pieces, list) for p in pieces}
+            self.learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) if isinstance(x, list) else x for x in split]
 
 
 @lru_cache(maxsize=2)
@@ -84,7 +112,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, fi
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rows = batch.slice(lo, 256)
-                coded = [coder.encode(t) + tail for t in rows.column("text").to_pylist()]
+                coded = [ids + tail for ids in coder.encode(rows.column("text").to_pylist())]
                 counts = np.array([len(c) // 4 for c in coded], "i8")
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 flat = np.frombuffer(b"".join(coded), "<i4")
@@ -106,6 +134,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     by = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     base = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n")).select("part", F.coalesce(F.sum("_n").over(by), F.lit(0)).alias("_base"))
+    base, _ = materialise(base, "token-bases")  # its known size lets Spark broadcast it while it is small
     return rows.join(base, "part").withColumn("start", F.col("_base") + F.col("first")).drop("_base")
 
 
