@@ -107,7 +107,7 @@ def dng_tags() -> list[Column]:
     c = F.col
     return [
         long(254, 0), long(256, c("width")), long(257, c("height")), short(258, 16), short(259, 1), short(262, 32803), ascii_text(271, "Sony"), ascii_text(272, "D5503"),
-        long(273, c("_strip")), short(274, 1), short(277, 1), long(278, c("height")), long(279, c("width") * c("height") * 2), short(284, 1), ascii_text(305, "libcalibsense 0.1"),
+        long(273, c("_strip")), short(274, 1), short(277, 1), long(278, c("height")), long(279, c("width") * c("height") * 2), short(284, 1), ascii_text(305, "framemill raw 0.1"),
         ascii_text(306, c("datetime")), rationals(282, 72, 1), rationals(283, 72, 1), short(296, 2), short(33421, 2, 2), raw_bytes(33422, bytes((0, 1, 1, 2))),
         raw_bytes(50706, bytes((1, 4, 0, 0))), raw_bytes(50707, bytes((1, 0, 0, 0))), ascii_text(50708, "Sony D5503 (IMX2000A)"), raw_bytes(50710, bytes((0, 1, 2))), short(50711, 1),
         short(50713, 2, 2), short(50714, 64, 64, 64, 64), long(50717, 1023), rationals(50718, 1, 1, 1, 1), rationals(50719, 0, 1, 0, 1), rationals(50720, c("width"), 1, c("height"), 1),
