@@ -17,6 +17,10 @@ from framemill.llm.shared import materialise, ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Near copies share shingles of so many words, to a Jaccard similarity of so many percent or more; op5 has its own values.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
@@ -27,7 +31,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of documents that are linked by near equality the one with the smallest id; of equal rows one."""
     ship(spark)
     named = repeats.keyed(docs)
-    found = jaccard.groups(named.select(F.struct("doc_id", "_h", "_g").alias("doc_id"), "text"))
+    found = jaccard.groups(named.select(F.struct("doc_id", "_h", "_g").alias("doc_id"), "text"), words=NEAR_WORDS, percent=NEAR_PERCENT)
     stay = found.filter("doc_id = component_id").select("doc_id._h", "doc_id._g").distinct()
     rows = named.join(stay, ["_h", "_g"]).withColumn("_row", F.row_number().over(Window.partitionBy("_h", "_g").orderBy("_h")))
     return rows.filter("_row = 1").select(*docs.columns)

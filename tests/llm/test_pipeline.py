@@ -35,3 +35,20 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def near(a, b):
+    """Jaccard similarity of sets of five words."""
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_from_80_percent_on_go(spark, sf_dir):
+    base = [[f"d{d}w{k}" for k in range(200)] for d in range(4)]
+    longer = base[0] + [f"more{k}" for k in range(40)]
+    changed = base[1][:90] + [f"else{k}" for k in range(16)] + base[1][106:]
+    far = base[2][:80] + [f"other{k}" for k in range(24)] + base[2][104:]
+    assert 0.80 <= near(base[0], longer) < 0.85 and 0.80 <= near(base[1], changed) < 0.85 and near(base[2], far) < 0.80
+    rows = [(k, " ".join(w)) for k, w in enumerate([*base, longer, changed, far])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, sf_dir).collect()) == [0, 1, 2, 3, 6]
