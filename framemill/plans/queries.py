@@ -101,7 +101,7 @@ def exif_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lsc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = raw.lsc_slots(headers(spark, sf_dir).select("frame_id", "header").filter("frame_id <= 60"))
+    s = raw.lsc_slots(headers(spark, sf_dir).select("frame_id", "header"))
     return s.groupBy("illum", "ch", "gy", "gx").agg(F.count(F.lit(1)).alias("frames"), F.max("shading").alias("shading"))
 
 
