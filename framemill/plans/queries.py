@@ -45,12 +45,17 @@ def bayer_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridges.bayer_structured(spark, sf_dir).select("y", "x", "v")
 
 
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """The pixels of all words of every row."""
+    return raw.unpack10(packed, F.octet_length("packed") / 8 * 6)
+
+
 def unpack10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw.unpack10(bridges.packed_rows(spark, sf_dir, "documents", "doc_id", "text"), 36)
+    return _unpacked(bridges.packed_rows(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def unpack10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw.unpack10(bridges.packed_rows(spark, sf_dir, "pages", "page_id", "html"), 36)
+    return _unpacked(bridges.packed_rows(spark, sf_dir, "pages", "page_id", "html"))
 
 
 def read_u32(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,9 +36,10 @@ def bayer_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_rows(spark: SparkSession, sf_dir: str, table: str, key: str, text: str) -> DataFrame:
-    """(row_id, packed): the first 48 bytes of texts that have so many, 36 packed pixels."""
-    t = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("row_id"), F.encode(text, "UTF-8").alias("packed"))
-    return t.filter(F.octet_length("packed") >= 48).withColumn("packed", F.substring("packed", 1, 48))
+    """(row_id, packed): the bytes of whole texts, filled with zeros to whole words of 8 bytes."""
+    t = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("row_id"), F.encode(text, "UTF-8").alias("_b"))
+    fill = F.substring(F.lit(bytes(8)), F.lit(1), F.pmod(-F.octet_length("_b"), F.lit(8)))
+    return t.select("row_id", F.concat("_b", fill).alias("packed"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

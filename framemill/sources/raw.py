@@ -66,11 +66,14 @@ def lsc_slots(frames: DataFrame) -> DataFrame:
     return cells.select("frame_id", illum.alias("illum"), (F.col("slot") % 4).alias("ch"), F.floor(F.col("cell") / 9).cast("int").alias("gy"), (F.col("cell") % 9).alias("gx"), (F.col("raw") / 128.0).alias("shading"))
 
 
-def unpack10(rows: DataFrame, width: int) -> DataFrame:
-    """rows (row_id, packed) -> row_id, i, p: six 10-bit pixels in each little-endian 64-bit word."""
-    i = F.col("i")
-    first = F.floor(i / 6).cast("int") * 8 + F.floor((i % 6) * 10 / 8).cast("int")
-    two = byte_at(F.col("packed"), first + 1) * 256 + byte_at(F.col("packed"), first)
-    shifted = F.call_function("shiftright", two, ((i % 6) * 10 % 8).cast("int"))
-    cells = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    return cells.select("row_id", "i", shifted.bitwiseAND(F.lit(1023)).cast("int").alias("p"))
+def unpack10(rows: DataFrame, width: int | Column) -> DataFrame:
+    """rows (row_id, packed) -> row_id, i, p: six 10-bit pixels in each little-endian 64-bit word; one width, or a column with that of each row."""
+    n = (F.lit(width) if isinstance(width, int) else width).cast("int")
+    words = rows.withColumn("_n", n).filter("_n > 0").withColumn("_w", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / 6).cast("int"))))
+    h = F.hex(F.substring("packed", F.col("_w") * 8 + 1, F.lit(8)))
+    # The low 60 bits of a word hold its pixels.
+    low = F.substring(F.concat(*[F.substring(h, k, 2) for k in range(15, 0, -2)]), 2, 15)
+    words = words.select("row_id", "_n", (F.col("_w") * 6).alias("_at"), F.conv(F.nullif(low, F.lit("")), 16, 10).cast("bigint").alias("_v"))
+    cells = words.withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.lit(5), F.col("_n") - 1 - F.col("_at")))))
+    p = F.call_function("shiftright", F.col("_v"), F.col("_j") * 10).bitwiseAND(F.lit(1023))
+    return cells.select("row_id", (F.col("_at") + F.col("_j")).alias("i"), p.cast("int").alias("p"))
