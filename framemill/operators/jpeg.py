@@ -30,6 +30,11 @@ def huffman(counts: tuple[int, ...], symbols: tuple[int, ...]) -> list[tuple[int
     return out
 
 
+#: The keys of a block in its plane, and in the scan: MCU row, MCU column, and 0..5 for four luma blocks, Cb and Cr.
+BLOCK = ("frame_id", "block_y", "block_x")
+MCU = ("frame_id", "my", "mx", "block")
+
+
 def luma_blocks(rgb: DataFrame) -> DataFrame:
     """frame_id, block_y, block_x, u, w, c: shifted luma samples of 8 by 8 blocks."""
     return rgb.select("frame_id", div(F.col("y"), 8).alias("block_y"), div(F.col("x"), 8).alias("block_x"), (F.col("y") % 8).alias("u"), (F.col("x") % 8).alias("w"), ycc_luma().cast("int").alias("c"))
@@ -45,6 +50,20 @@ def chroma_420(rgb: DataFrame) -> DataFrame:
     return m.select("frame_id", "cy", "cx", *[(clamp(c, 0, 255) - 128).cast("int").alias(n) for n, c in (("cb", cb), ("cr", cr))])
 
 
+def mcu_blocks(rgb: DataFrame, width: int, height: int) -> DataFrame:
+    """frame_id, my, mx, block, u, w, c: the samples of MCUs of 16 by 16 pixels; the last row and column fill those that are not whole."""
+    def filled(at: str, size: int) -> Column:
+        last = F.when(F.col(at) == size - 1, -(-size // 16) * 16 - 1).otherwise(F.col(at))
+        return F.explode(F.sequence(F.col(at), last))
+
+    full = rgb.withColumn("y", filled("y", height)).withColumn("x", filled("x", width))
+    block = div(F.col("y") % 16, 8) * 2 + div(F.col("x") % 16, 8)
+    luma = full.select("frame_id", div(F.col("y"), 16).alias("my"), div(F.col("x"), 16).alias("mx"), block.alias("block"), (F.col("y") % 8).alias("u"), (F.col("x") % 8).alias("w"), ycc_luma().cast("int").alias("c"))
+    two = F.explode(F.array(F.struct(F.lit(4).alias("block"), F.col("cb").alias("c")), F.struct(F.lit(5).alias("block"), F.col("cr").alias("c"))))
+    chroma = chroma_420(full).withColumn("_s", two).select("frame_id", div(F.col("cy"), 8).alias("my"), div(F.col("cx"), 8).alias("mx"), "_s.block", (F.col("cy") % 8).alias("u"), (F.col("cx") % 8).alias("w"), "_s.c")
+    return luma.unionByName(chroma)
+
+
 def fdct_matrix() -> list[list[int]]:
     """The integer transform as 13-bit fixed-point weights: row k gives coefficient k of eight samples.
 
@@ -73,14 +92,14 @@ def fdct_matrix() -> list[list[int]]:
     return out
 
 
-def fdct(blocks: DataFrame) -> DataFrame:
-    """frame_id, block_y, block_x, u, w, c: the integer transform of each block, scaled by 8.
+def fdct(blocks: DataFrame, keys: tuple[str, ...] = BLOCK) -> DataFrame:
+    """keys of a block, u, w, c: the integer transform of each block, scaled by 8.
 
     Separable: one aggregate over the samples of a block, whose 64 results leave
     it together, so a block is shuffled once.
     """
     weights = F.array(*[F.lit(w).cast("bigint") for row in fdct_matrix() for w in row])
-    block = blocks.groupBy("frame_id", "block_y", "block_x").agg(F.transform(F.array_sort(F.collect_list(F.struct("u", "w", "c"))), lambda s: s["c"].cast("bigint")).alias("s"))
+    block = blocks.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("u", "w", "c"))), lambda s: s["c"].cast("bigint")).alias("s"))
     block = block.withColumn("m", weights)
     high, low = (lambda p: F.floor(p / 8).cast("int")), (lambda p: p % 8)
     eight, zero = F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("bigint")
@@ -92,57 +111,93 @@ def fdct(blocks: DataFrame) -> DataFrame:
 
     block = block.withColumn("t", pass_over("s", lambda p, n: high(p) * 8 + n, low, 11))
     both = pass_over("t", lambda p, n: n * 8 + low(p), high, 15)
-    out = block.select("frame_id", "block_y", "block_x", F.posexplode(both).alias("p", "c"))
-    return out.select("frame_id", "block_y", "block_x", div(F.col("p"), 8).alias("u"), (F.col("p") % 8).alias("w"), F.col("c").cast("int").alias("c"))
+    out = block.select(*keys, F.posexplode(both).alias("p", "c"))
+    return out.select(*keys, div(F.col("p"), 8).alias("u"), (F.col("p") % 8).alias("w"), F.col("c").cast("int").alias("c"))
 
 
-def quantise(coefficients: DataFrame, table: list[int]) -> DataFrame:
-    """frame_id, block_y, block_x, k, q: quantised in zigzag order, halves away from zero."""
+def quantise(coefficients: DataFrame, table: list[int], chroma: list[int] | None = None, keys: tuple[str, ...] = BLOCK) -> DataFrame:
+    """keys of a block, k, q: quantised in zigzag order, halves away from zero; blocks 4 and 5 of an MCU by the table of chroma."""
     spot = {place: k for k, place in enumerate(fixed.ZIGZAG)}
     place = F.col("u") * 8 + F.col("w")
     k = F.get(F.array(*[F.lit(spot[i]) for i in range(64)]), place)
-    d = F.get(F.array(*[F.lit(8 * t) for t in table]), place)
+    step = lambda t: F.get(F.array(*[F.lit(8 * s) for s in t]), place)
+    d = step(table) if chroma is None else F.when(F.col("block") < 4, step(table)).otherwise(step(chroma))
     size = F.floor((F.abs("c") + F.floor(d / 2)) / d)
-    return coefficients.select("frame_id", "block_y", "block_x", k.alias("k"), (F.signum("c") * size).cast("int").alias("q"))
+    return coefficients.select(*keys, k.alias("k"), (F.signum("c") * size).cast("int").alias("q"))
 
 
 def dc_delta(quantised: DataFrame) -> DataFrame:
-    """frame_id, block_y, block_x, diff, size: differences of the first coefficients in block order, and their bit sizes.
+    """keys of a block in the scan, diff, size: differences of the first coefficients of a component in scan order, and their bit sizes.
 
-    Differences inside a row of blocks, and the last value of the row before:
+    Differences inside a row of MCUs, and the last value of the row before:
     neither window holds a frame.
     """
-    dc = quantised.filter("k = 0").select("frame_id", "block_y", "block_x", "q")
-    last = dc.groupBy("frame_id", "block_y").agg(F.max_by("q", "block_x").alias("_end")).withColumn("block_y", F.col("block_y") + 1)
-    inside = F.lag("q").over(Window.partitionBy("frame_id", "block_y").orderBy("block_x"))
-    d = dc.withColumn("_before", inside).join(last, ["frame_id", "block_y"], "left")
+    dc = quantised.filter("k = 0").select(*MCU, F.greatest(F.col("block") - 3, F.lit(0)).alias("_comp"), "q")
+    last = dc.groupBy("frame_id", "_comp", "my").agg(F.max_by("q", F.struct("mx", "block")).alias("_end")).withColumn("my", F.col("my") + 1)
+    inside = F.lag("q").over(Window.partitionBy("frame_id", "_comp", "my").orderBy("mx", "block"))
+    d = dc.withColumn("_before", inside).join(last, ["frame_id", "_comp", "my"], "left")
     diff = F.col("q") - F.coalesce(F.col("_before"), F.col("_end"), F.lit(0))
-    return d.select("frame_id", "block_y", "block_x", diff.cast("int").alias("diff"), bit_size(diff).alias("size"))
+    return d.select(*MCU, diff.cast("int").alias("diff"), bit_size(diff).alias("size"))
 
 
 def bit_size(v: Column) -> Column:
     return F.when(v == 0, 0).otherwise(F.length(F.bin(F.abs(v).cast("bigint")))).cast("int")
 
 
-def ac_runs(quantised: DataFrame) -> DataFrame:
-    """frame_id, block_y, block_x, k, run, size, zrls: every coefficient that is not zero after the first; the end of a block has k 64."""
-    w = Window.partitionBy("frame_id", "block_y", "block_x").orderBy("k")
+def ac_runs(quantised: DataFrame, keys: tuple[str, ...] = BLOCK) -> DataFrame:
+    """keys of a block, k, run, size, zrls, q: every coefficient that is not zero after the first; the end of a block has k 64."""
+    w = Window.partitionBy(*keys).orderBy("k")
     ac = quantised.filter("k > 0 AND q <> 0")
     run = F.col("k") - F.coalesce(F.lag("k").over(w), F.lit(0)) - 1
-    found = ac.withColumn("_run", run).select("frame_id", "block_y", "block_x", "k", (F.col("_run") % 16).cast("int").alias("run"), bit_size(F.col("q")).alias("size"), div(F.col("_run"), 16).alias("zrls"))
-    ends = quantised.groupBy("frame_id", "block_y", "block_x").agg(F.max(F.when((F.col("k") > 0) & (F.col("q") != 0), F.col("k"))).alias("_last")).filter("_last IS NULL OR _last < 63")
+    found = ac.withColumn("_run", run).select(*keys, "k", (F.col("_run") % 16).cast("int").alias("run"), bit_size(F.col("q")).alias("size"), div(F.col("_run"), 16).alias("zrls"), "q")
+    ends = quantised.groupBy(*keys).agg(F.max(F.when((F.col("k") > 0) & (F.col("q") != 0), F.col("k"))).alias("_last")).filter("_last IS NULL OR _last < 63")
     zero = F.lit(0)
-    return found.unionByName(ends.select("frame_id", "block_y", "block_x", F.lit(64).alias("k"), zero.alias("run"), zero.alias("size"), zero.alias("zrls")))
+    return found.unionByName(ends.select(*keys, F.lit(64).alias("k"), *[zero.alias(c) for c in ("run", "size", "zrls", "q")]))
+
 
+def scan_codes(quantised: DataFrame) -> DataFrame:
+    """keys of a block in the scan, k, part, code, len: every code of the scan with its mantissa as one string of bits.
 
-def dc_codes(deltas: DataFrame) -> DataFrame:
-    """frame_id, block_y, block_x, code, len: the Huffman code and the mantissa of each difference as one string of bits."""
-    table = huffman(*fixed.DC_LUMA)
-    spark: SparkSession = deltas.sparkSession
-    h = spark.createDataFrame([(s, c, n) for s, c, n in table], "size int, _c int, _n int")
-    bits = F.when(F.col("diff") < 0, F.col("diff") + F.call_function("shiftleft", F.lit(1), F.col("size")) - 1).otherwise(F.col("diff"))
-    d = deltas.join(F.broadcast(h), "size")  # twelve rows
-    return d.select("frame_id", "block_y", "block_x", (F.call_function("shiftleft", F.col("_c").cast("bigint"), F.col("size")) + bits).alias("code"), (F.col("_n") + F.col("size")).alias("len"))
+    A long run of zeros has parts of 16 zeros before its coefficient.  A symbol
+    without a code is an error.
+    """
+    spark: SparkSession = quantised.sparkSession
+    tables = ((0, 0, fixed.DC_LUMA), (0, 1, fixed.DC_CHROMA), (1, 0, fixed.AC_LUMA), (1, 1, fixed.AC_CHROMA))
+    h = spark.createDataFrame([(ac, chroma, *row) for ac, chroma, t in tables for row in huffman(*t)], "_ac int, _chroma int, _symbol int, _c long, _n int")
+    dc = dc_delta(quantised).select(*MCU, F.lit(0).alias("k"), F.lit(0).alias("part"), F.lit(0).alias("_ac"), F.col("size").alias("_symbol"), "size", F.col("diff").alias("v"))
+    runs = ac_runs(quantised, MCU).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("zrls"))))
+    zeros = F.col("part") < F.col("zrls")
+    or_zero = lambda c: F.when(zeros, 0).otherwise(F.col(c))
+    ac = runs.select(*MCU, "k", "part", F.lit(1).alias("_ac"), F.when(zeros, 0xF0).otherwise(F.col("run") * 16 + F.col("size")).alias("_symbol"), or_zero("size").alias("size"), or_zero("q").alias("v"))
+    c = dc.unionByName(ac).withColumn("_chroma", (F.col("block") > 3).cast("int"))
+    c = c.join(F.broadcast(h), ["_ac", "_chroma", "_symbol"], "left")  # 348 rows
+    known = F.when(F.col("_n").isNull(), F.raise_error("a symbol without a Huffman code").cast("int")).otherwise(F.col("_n"))
+    bits = F.when(F.col("v") < 0, F.col("v") + F.call_function("shiftleft", F.lit(1), F.col("size")) - 1).otherwise(F.col("v"))
+    return c.select(*MCU, "k", "part", (F.call_function("shiftleft", F.col("_c"), F.col("size")) + bits).alias("code"), (known + F.col("size")).alias("len"))
+
+
+def scan(codes: DataFrame) -> DataFrame:
+    """frame_id, at, byte: the entropy-coded bytes of a scan, with a zero after each 255."""
+    return stuff(bit_pack(codes.select("frame_id", F.col("my").alias("block_y"), F.struct("mx", "block", "k", "part").alias("block_x"), "code", "len")))
+
+
+def stuff(data: DataFrame, piece: int = 4096) -> DataFrame:
+    """frame_id, at, byte: a zero put in after each 255.
+
+    A byte moves by the number of those before it: per piece first, then inside
+    the piece.
+    """
+    full = (F.col("byte") == 255).cast("int")
+    d = data.withColumn("_piece", F.floor(F.col("at") / piece))
+    sums = d.groupBy("frame_id", "_piece").agg(F.sum(full).alias("_n"))
+    before = Window.partitionBy("frame_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("frame_id", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("frame_id", "_piece").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_in", F.coalesce(F.sum(full).over(inside), F.lit(0))).join(base, ["frame_id", "_piece"])
+    at = F.col("at") + F.col("_base") + F.col("_in")
+    one = F.struct(at.alias("at"), F.col("byte"))
+    put = F.when(F.col("byte") == 255, F.array(one, F.struct((at + 1).alias("at"), F.lit(0).alias("byte")))).otherwise(F.array(one))
+    return d.select("frame_id", F.explode(put).alias("_b")).select("frame_id", "_b.*")
 
 
 def bit_pack(codes: DataFrame) -> DataFrame:

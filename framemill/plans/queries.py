@@ -271,8 +271,14 @@ def quantize_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quantised(spark, sf_dir).select("block_y", "block_x", "k", "q")
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantised blocks of the whole scan, luma and chroma."""
+    blocks = jpeg.mcu_blocks(_rgb8(spark, sf_dir), W, _height(spark, sf_dir))
+    return jpeg.quantise(jpeg.fdct(blocks, jpeg.MCU), jpeg.quality_table(fixed.LUMA_TABLE, 75), jpeg.quality_table(fixed.CHROMA_TABLE, 75), jpeg.MCU)
+
+
 def dc_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.dc_delta(_quantised(spark, sf_dir)).select("block_y", "block_x", "diff", "size")
+    return jpeg.dc_delta(_scanned(spark, sf_dir)).select("my", "mx", "block", "diff", "size")
 
 
 def ac_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,8 +286,8 @@ def ac_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bits of all DC codes; checked against the serial form in the tests."""
-    return jpeg.bit_pack(jpeg.dc_codes(jpeg.dc_delta(_quantised(spark, sf_dir)))).select(F.col("at").cast("long").alias("at"), "byte")
+    """The entropy-coded bytes of the scan; checked against the serial form in the tests."""
+    return jpeg.scan(jpeg.scan_codes(_scanned(spark, sf_dir))).select(F.col("at").cast("long").alias("at"), "byte")
 
 
 def frame_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
