@@ -6,8 +6,9 @@ smallest of its two children, the left one on a tie.  So the root names the
 leftmost merge of the lowest rank.  Applying it changes three leaves, each
 carried to the root in logarithmic time, until the root is infinite.
 
-Pieces come from the tokenizer file's own normalizer and pre-tokenizer rules.
-Equal pieces are merged once per worker and remembered in a table of bounded size.
+Pieces come from the library's own normalizer and pre-tokenizer, so they are cut
+as it cuts them.  Equal stretches of text are encoded once per worker and
+remembered in a table of bounded size.  Texts are decoded from their ids.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text;
 texts of any length are encoded whole, a single huge piece in n log n steps;
@@ -18,18 +19,24 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-#: Remembered pieces; the table is emptied when it is full.
+from . import kernel
+
+#: Stretches that are remembered, emptied when full, and the characters of the longest of them; bytes of text that are encoded at once.
 CACHE = 400_000
+LONGEST = 200
+STEP = 1 << 20
 _NONE = 1 << 62
 
 
@@ -98,86 +105,78 @@ def merge(symbols: list[int], rules: Merges) -> list[int]:
     return [x for x in s if x >= 0]
 
 
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    shown = {b: chr(b) for b in plain}
-    rest = (b for b in range(256) if b not in shown)
-    shown |= {b: chr(256 + k) for k, b in enumerate(rest)}
-    return [shown[b] for b in range(256)]
+class Codec:
+    """Encoder and decoder for a tokenizer file of the word-end kind.
 
+    The library's own normalizer and pre-tokenizer cut a text into pieces; the
+    merges are made here.  Both work within stretches between spaces: no piece
+    holds one, and neither composition nor lower-casing looks across one.
+    """
 
-class Codec:
-    """Encoder and decoder for a tokenizer file of the word-end kind: NFC, lower case, pieces by pattern, byte-level BPE."""
+    def __init__(self, spec: bytes, cache: int = CACHE):
+        from tokenizers import Tokenizer
 
-    def __init__(self, path: str, cache: int = CACHE):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
+        facts, self.library = json.loads(spec), Tokenizer.from_str(spec.decode())
+        model = facts["model"]
         vocab: dict[str, int] = model["vocab"]
-        self.tokens = {i: t for t, i in vocab.items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens |= {i: t for t, i in self.special.items()}
+        self.special = {t["content"]: t["id"] for t in facts["added_tokens"]}
+        size = max([*vocab.values(), *self.special.values()]) + 1
+        names: list[str | None] = [None] * size
+        for token, i in (vocab | self.special).items():
+            names[i] = token
+        self.tokens = pa.array(names, pa.string())
         pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
         self.rules = Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         end = model["end_of_word_suffix"] or ""
-        shown = byte_alphabet()
-        self.inner = [vocab.get(c) for c in shown]
-        self.last = [vocab.get(c + end) for c in shown]
-        steps = spec["pre_tokenizer"]["pretokenizers"]
-        pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
-        self.pieces = regex.compile(pattern.replace("\\s", "\\p{White_Space}"))
-        self.specials = regex.compile("|".join(sorted(map(regex.escape, self.special), key=len, reverse=True))) if self.special else None
-        self.cache, self.known, self.path = cache, {}, path
-        self._plain = regex.compile("[^\\x00-\\u024f]|\\u0130")
-
-    def normal(self, text: str) -> str:
-        """NFC and lower case, letter by letter."""
-        if not self._plain.search(text):
-            return text.lower()
-        return "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-
-    def piece(self, piece: str) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, decoded text) of one piece."""
-        raw = piece.encode()
-        ids = merge([self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]], self.rules)
-        got = np.asarray(ids, "<u4").tobytes(), " ".join([self.tokens[i] for i in ids])
-        if len(self.known) >= self.cache:
-            self.known.clear()
-        self.known[piece] = got
-        return got
-
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        known, out = self.known.get, []
-        stretches = [(text, None)]
-        if self.specials is not None and self.specials.search(text):
-            at, stretches = 0, []
-            for m in self.specials.finditer(text):
-                stretches += [(text[at : m.start()], None), (m[0], self.special[m[0]])]
+        self.inner, self.last = vocab, {t.removesuffix(end): i for t, i in vocab.items() if t.endswith(end)} if end else vocab
+        # Two special tokens that begin at one place: the longer one counts.
+        self.specials = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True))) if self.special else None
+        self.cache, self.known = cache, {"": b""}
+
+    def piece(self, shown: str) -> list[int]:
+        """ids of one piece, given in the printable characters that stand for its bytes."""
+        return merge([*(self.inner[c] for c in shown[:-1]), self.last[shown[-1]]], self.rules)
+
+    def stretch(self, text: str) -> bytes:
+        """ids of a text as little-endian 32-bit integers, without the table of known stretches."""
+        ids: list[int] = []
+        at = 0
+        for m in [*(self.specials.finditer(text) if self.specials else ()), None]:
+            plain = self.library.normalizer.normalize_str(text[at : m.start() if m else len(text)])
+            for shown, _ in self.library.pre_tokenizer.pre_tokenize_str(plain):
+                ids += self.piece(shown)
+            if m:
+                ids.append(self.special[m[0]])
                 at = m.end()
-            stretches.append((text[at:], None))
-        for stretch, special in stretches:
-            if special is not None:
-                out.append((special.to_bytes(4, "little"), stretch))
-            else:
-                out += [known(p) or self.piece(p) for p in self.pieces.findall(self.normal(stretch))]
-        return out
-
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join([p[0] for p in self.parts(text or "")]), "<u4")
-
-    def decode(self, ids: np.ndarray) -> str:
-        return " ".join([self.tokens[i] for i in ids.tolist()])
-
-    def both(self, text: str | None) -> tuple[bytes, str]:
-        """The ids as little-endian 32-bit integers and what they decode to."""
-        parts = self.parts(text or "")
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        return np.asarray(ids, "<u4").tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """ids of a text as little-endian 32-bit integers."""
+        parts, known = (text or "").split(" "), self.known
+        if len(known) > self.cache:
+            known.clear()
+        try:
+            return b"".join([known[p] for p in parts])
+        except KeyError:
+            out = []
+            for p in parts:
+                got = known.get(p)
+                if got is None:
+                    got = self.stretch(p)
+                    if len(p) <= LONGEST:
+                        known[p] = got
+                out.append(got)
+            return b"".join(out)
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The tokens of each list of ids, joined by spaces."""
+        flat = self.tokens.take(ids.values.slice(ids.offsets[0].as_py(), ids.offsets[-1].as_py() - ids.offsets[0].as_py()))
+        return pc.binary_join(pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), flat), " ")
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(spec: bytes) -> Codec:
+    return Codec(spec)
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", digests: bool = False) -> DataFrame:
@@ -192,19 +191,20 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", digests: bool
     for name, kind in zip(new, kinds, strict=True):
         schema = schema.add(name, kind)
 
+    spec = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())  # a few MB; the workers need not have the file
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
+        coder = codec(spec.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                pairs = [coder.both(t) for t in part.column("_text").to_pylist()]
-                counts = pa.array([len(a) // 4 for a, _ in pairs], pa.int64())
+            for lo, hi, _, _ in kernel.chunks(batch.column(0), STEP):
+                part = batch.slice(lo, hi - lo)
+                coded = [coder.encode(t) for t in part.column(0).to_pylist()]
+                ends = np.cumsum([0] + [len(c) // 4 for c in coded])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
+                decoded = coder.decode(ids)
+                made = [pa.array(np.diff(ends), pa.int64()), ids, decoded]
                 if digests:
-                    made = [pa.array([hashlib.sha256(a).hexdigest() for a, _ in pairs], pa.string()), pa.array([hashlib.sha256(b.encode()).hexdigest() for _, b in pairs], pa.string())]
-                else:
-                    ends = np.cumsum([0] + [len(a) // 4 for a, _ in pairs])
-                    flat = np.frombuffer(b"".join([a for a, _ in pairs]), "<i4")
-                    made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array([b for _, b in pairs], pa.string())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), counts, *made], names=[*keep, *new])
-
-    return docs.withColumn("_text", docs[text]).select(*keep, "_text").mapInArrow(work, schema)
+                    made[1:] = [pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()), pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in decoded.cast(pa.binary())], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=[*keep, *new])
+
+    return docs.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(work, schema)

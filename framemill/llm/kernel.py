@@ -1,7 +1,9 @@
 """Array kernels over the raw bytes of many texts at once: words, rolling hashes, anchors of windows.
 
-Units (words or bytes) have 64-bit values.  A polynomial over prefix sums gives
-the hash of any run of units in two look-ups, without a loop over positions.
+Units (words or bytes) have 64-bit values; that of a word is a digest of its
+bytes.  A polynomial over prefix sums gives the hash of any run of units in two
+look-ups, without a loop over positions.  These hashes choose anchors and bring
+candidates together; what is equal is decided on contents elsewhere.
 Every window of ``length`` units owns one anchor: of the grams inside it the one
 with the smallest hash, the rightmost on a tie.  That depends on the window's
 content alone, so equal windows have equal anchors at equal places.
@@ -10,6 +12,7 @@ content alone, so equal windows have equal anchors at equal places.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -111,8 +114,46 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
+def joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, between: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all words, offsets); between: bytes after each word, which are spaces."""
+    size = ends - starts + between
+    at = np.concatenate([[0], np.cumsum(size)])
+    where = np.repeat(starts - at[:-1], size) + np.arange(at[-1])
+    if between:
+        where[at[1:] - 1] = len(raw)
+        raw = np.append(raw, np.uint8(32))
+    return raw[where], at
+
+
+#: Values of words that were met, so that a digest is taken once; longer words are not remembered.
+_VALUES: dict[bytes, int] = {}
+_REMEMBERED, _LONGEST = 1_000_000, 64
+
+
+def _value(word: bytes) -> int:
+    got = _VALUES.get(word)
+    if got is None:
+        got = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= _LONGEST:
+            if len(_VALUES) >= _REMEMBERED:
+                _VALUES.clear()
+            _VALUES[word] = got
+    return got
+
+
+def word_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(number of each word among the different ones, the different words): equal numbers are equal bytes."""
+    flat, at = joined(raw, starts, ends)
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(flat)])
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
 def word_values(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Rolling(_BYTE[raw]).run(starts, ends)
+    if not len(starts):
+        return np.zeros(0, U)
+    codes, words = word_codes(raw, starts, ends)
+    return np.array([_value(w) for w in words], U)[codes]
 
 
 def byte_values(raw: np.ndarray) -> np.ndarray:
@@ -135,18 +176,17 @@ class Occurrences:
     """Runs of windows that own the same anchor.
 
     text: index of the text; first: start of the first window, from the text's
-    start; count: windows of the run; anchor: hash of the anchor's gram; context:
-    hash of all units of the run's windows and of the anchor's place in them.
+    start; count: windows of the run; anchor: hash of the anchor's gram; place: its
+    start, in units from the run's first.
     """
 
     def __init__(self, units: np.ndarray, off: np.ndarray, length: int, gram: int):
         n, empty = len(units), np.zeros(0, np.int64)
-        self.text = self.first = self.count = empty
-        self.anchor = self.context = np.zeros(0, U)
-        self.rolling = Rolling(units)
+        self.text = self.first = self.count = self.place = self.head = empty
+        self.anchor = np.zeros(0, U)
         if n < length:
             return
-        grams = self.rolling.every(gram)
+        grams = Rolling(units).every(gram)
         bits = U(len(grams).bit_length())
         mask = (U(1) << bits) - U(1)
         keys = (grams & ~mask) | (mask - np.arange(len(grams), dtype=U))
@@ -161,9 +201,7 @@ class Occurrences:
         keep = whole[heads]
         heads, tails = heads[keep], tails[keep]
         at = place[heads]
-        self.text = text[heads]
+        self.text, self.head, self.place = text[heads], heads, at - heads
         self.first = heads - off[self.text]
         self.count = tails - heads + 1
         self.anchor = finish(grams[at] ^ U(0xA0761D6478BD642F))  # the smallest hashes, spread out again
-        shape = ((at - heads).astype(U) << U(32)) | self.count.astype(U)
-        self.context = finish(self.rolling.run(heads, tails + length) + finish(shape + U(1)))

@@ -1,20 +1,22 @@
-"""Windows of units that occur more than once, found through anchors.
+"""Where windows of units may occur more than once: anchors, occurrences and their classes.
 
-Every window of ``length`` units owns an anchor (see kernel.Occurrences), and
-equal windows own equal anchors at equal places.  Consecutive windows with one
-anchor form an occurrence; its context is all their units.
+Every window of ``length`` units owns an anchor, the gram of the smallest hash in
+it (see kernel.Occurrences), and equal windows own equal anchors at equal places.
+Consecutive windows with one anchor form an occurrence; its content is all their
+units.
 
 1.  Anchors are counted over the whole corpus.  What owns an anchor that is
     alone cannot repeat; a Bloom filter of the others thins the second pass.
-2.  Occurrences with equal anchor and context are one class.  An anchor with a
-    single class needs no more: all its windows repeat as often as the class.
-3.  Anchors with several classes are extended: one member of each class sends
-    its content, and the windows of the classes of an anchor are compared.
-    Anchors with more than ``SPLIT`` classes are dealt out by window instead, so
-    that no anchor, however common, meets in one task.
-4.  Each class learns which of its windows repeat; its occurrences mark them.
-
-All of it is linear in the corpus: copies are never paired with one another.
+2.  Occurrences of one anchor with equal contents, by a 128-bit digest, are one
+    class.  All windows of a class with two members or more repeat.
+3.  Classes of one member whose anchor has other classes are compared on their
+    contents; how is up to the operator (substring_dedup, suffix_dedup).
+4.  Occurrences take over the windows that repeat in their class.
+
+Anchors that own more than 1 in ``SHARE`` occurrences are hot.  There are fewer
+than ``SHARE`` of them, so their names fit anywhere; their occurrences carry a
+salt, are counted per salt first, and get what their class learns per salt too.
+
 A document is known by two 64-bit hashes of its id and text, so equal rows share
 their spans and a null id is an id like others.
 """
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,13 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .filters import bloom, may_hold
-from .kernel import U
 from .shared import forget, materialise, settle
 
-#: Classes of an anchor that are compared in one task: less than 8 MB of content.
-SPLIT = 16384
-#: Bytes of content that are compared at once, unless one anchor has more.
-STEP = 4 << 20
+#: A key with more than 1 in SHARE rows, and more than FLOOR, is hot; parts of a hot key.
+SHARE = 1024
+FLOOR = 256
+PARTS = 64
+CLASS = ("anchor", "c1", "c2")
 
 
 @dataclass(frozen=True)
@@ -48,11 +51,17 @@ class Kind:
     length: int
     gram: int
 
-    def units(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def units(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(values of the units, their offsets by text, bytes, begin of each unit in the bytes); words are joined by one space."""
         if not self.words:
-            return kernel.byte_values(raw), off
+            return kernel.byte_values(raw), off, raw, np.arange(len(raw) + 1)
         starts, ends, word_off = kernel.words(raw, off)
-        return kernel.word_values(raw, starts, ends), word_off
+        data, at = kernel.joined(raw, starts, ends, between=1)
+        return kernel.word_values(raw, starts, ends), word_off, data, at
+
+    def span(self, at: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) in the bytes of the units from first to before end."""
+        return at[first], at[end] - (1 if self.words else 0)
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -69,7 +78,10 @@ def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [kernel.Occurrences(*kind.units(raw, off), kind.length, kind.gram).anchor for _, _, raw, off in kernel.chunks(batch.column(0))]
+            found = []
+            for _, _, raw, off in kernel.chunks(batch.column(0)):
+                units, unit_off, _, _ = kind.units(raw, off)
+                found.append(kernel.Occurrences(units, unit_off, kind.length, kind.gram).anchor)
             if found:
                 values, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([_long(values), pa.array(counts)], names=["anchor", "n"])
@@ -77,73 +89,81 @@ def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
     return docs.select("text").mapInArrow(work, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def occurrences(docs: DataFrame, kind: Kind, sieve: tuple[int, np.ndarray]) -> DataFrame:
-    """Occurrences whose anchors pass the sieve: _h, _g, first, count, anchor, context."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+def hot_keys(counted: DataFrame, *keys: str) -> list[tuple]:
+    """The keys of counted (keys, n) that are hot: fewer than SHARE."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return [tuple(r) for r in counted.filter(F.col("n") > max(FLOOR, total // SHARE)).select(*keys).collect()]
+
+
+def occurrences(docs: DataFrame, kind: Kind, sieve: tuple[int, np.ndarray], hot: np.ndarray) -> DataFrame:
+    """Occurrences whose anchors pass the sieve: _h, _g, first, count, place, CLASS (c1 and c2 are the digest), salt (0 unless the anchor is hot)."""
+    shared = docs.sparkSession.sparkContext.broadcast((sieve, np.sort(hot)))
+    names = ("_h", "_g", "first", "count", "place", *CLASS, "salt")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, hot = shared.value
         for batch in batches:
             h, g = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_h", "_g"))
             for lo, _, raw, off in kernel.chunks(batch.column("text")):
-                o = kernel.Occurrences(*kind.units(raw, off), kind.length, kind.gram)
-                keep = may_hold(shared.value, o.anchor)
-                row = o.text[keep] + lo
-                cols = [pa.array(h[row]), pa.array(g[row]), pa.array(o.first[keep]), pa.array(o.count[keep].astype(np.int32)), _long(o.anchor[keep]), _long(o.context[keep])]
-                yield pa.RecordBatch.from_arrays(cols, names=["_h", "_g", "first", "count", "anchor", "context"])
-
-    return docs.select("_h", "_g", "text").mapInArrow(work, "_h long, _g long, first long, count int, anchor long, context long")
-
-
-def classes_by_join(found: DataFrame) -> DataFrame:
-    """(anchor, context, n, rep, classes, total): the classes of anchors that occur twice or more."""
-    each, _ = materialise(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_h", "_g", "first", "count")).alias("rep")), "repeat-classes")
-    by_anchor = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("total")).filter("total > 1")
-    return each.join(by_anchor, "anchor")
-
+                units, unit_off, data, at = kind.units(raw, off)
+                o = kernel.Occurrences(units, unit_off, kind.length, kind.gram)
+                keep = may_hold(sieve, o.anchor)
+                row, first, count, place, anchor = o.text[keep] + lo, o.first[keep], o.count[keep], o.place[keep], o.anchor[keep].view(np.int64)
+                begin, end = kind.span(at, o.head[keep], o.head[keep] + count + kind.length - 1)
+                held = memoryview(np.ascontiguousarray(data))
+                shape = np.stack([place, count], 1).astype("<i8").tobytes()  # equal contents with anchors at other places are other classes
+                digests = [blake2b(held[a:b], digest_size=16, salt=shape[k : k + 16]).digest() for k, a, b in zip(range(0, len(shape), 16), begin.tolist(), end.tolist(), strict=True)]
+                pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                salt = np.where(np.isin(anchor, hot), 1 + (kernel.finish((h[row] + first).astype(np.int64).view(kernel.U)) % kernel.U(PARTS)).astype(np.int64), 0)
+                cols = [h[row], g[row], first, count.astype(np.int32), place.astype(np.int32), anchor, pair[:, 0], pair[:, 1], salt.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list(names))
+
+    return docs.select("_h", "_g", "text").mapInArrow(work, "_h long, _g long, first long, count int, place int, anchor long, c1 long, c2 long, salt int")
+
+
+def classes(found: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """((CLASS, n, rep, hot), (CLASS, salt) of the hot ones, scratch path): every class with a member that speaks for it."""
+    each, path = materialise(found.groupBy(*CLASS, "salt").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_h", "_g", "first", "count", "place")).alias("rep")), "repeat-classes")
+    salted = each.filter("salt > 0")
+    hot = salted.groupBy(*CLASS).agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))  # at most PARTS rows a class
+    cold = each.filter("salt = 0").drop("salt")
+    return cold.withColumn("hot", F.lit(False)).unionByName(hot.withColumn("hot", F.lit(True))), salted.select(*CLASS, "salt"), path
+
+
+def contents(docs: DataFrame, kind: Kind, wanted: DataFrame) -> DataFrame:
+    """wanted (CLASS, n, rep, hot) with ``place`` and ``content``: the bytes of the class."""
+    spark = docs.sparkSession
+    fields = ("first", "count", "place", *CLASS, "n", "hot")
+    per_doc = wanted.groupBy(F.col("rep._h").alias("_h"), F.col("rep._g").alias("_g")).agg(F.collect_list(F.struct(F.col("rep.first").alias("first"), F.col("rep.count").alias("count"), F.col("rep.place").alias("place"), *CLASS, "n", "hot")).alias("_runs"))
+    per_doc, path = materialise(per_doc, "repeat-wanted")
+    sieve = spark.sparkContext.broadcast(bloom(per_doc, "_h", per_doc.count()))
 
-def _content(docs: DataFrame, kind: Kind, classes: DataFrame) -> DataFrame:
-    """What the windows of a class are compared by: their hashes (words) or the bytes they cover."""
-    per_doc = classes.groupBy(F.col("rep._h").alias("_h"), F.col("rep._g").alias("_g")).agg(F.collect_list(F.struct(F.col("rep.first").alias("first"), F.col("rep.count").alias("count"), "anchor", "context", "n", "classes")).alias("_runs"))
-    texts = docs.select("_h", "_g", "text").dropDuplicates(["_h", "_g"])
-    fields = ("first", "count", "anchor", "context", "n", "classes")
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(sieve.value, batch.column("_h").to_numpy().view(kernel.U))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column("_runs")
             ends = runs.offsets.to_numpy()
-            flat = {f: runs.values.field(f).to_numpy(zero_copy_only=False) for f in fields}
+            flat = {f: runs.values.field(f) for f in fields}
             for lo, hi, raw, off in kernel.chunks(batch.column("text")):
-                units, unit_off = kind.units(raw, off)
-                mine = slice(int(ends[lo]), int(ends[hi]))
-                first = flat["first"][mine] + np.repeat(unit_off[:-1], np.diff(ends[lo : hi + 1]))
-                count = flat["count"][mine].astype(np.int64)
-                if kind.words:
-                    data, at, size = kernel.Rolling(units).every(kind.length).view(np.uint8), first * 8, count * 8
-                else:
-                    data, at, size = raw, first, count + kind.length - 1
-                take = np.concatenate([[0], np.cumsum(size)])
-                where = np.repeat(at - take[:-1], size) + np.arange(take[-1])
-                made = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(take.astype(np.int32).tobytes()), pa.py_buffer(data[where].tobytes())])
-                cols = [pa.array(flat[f][mine]) for f in ("anchor", "context", "n", "classes")]
-                yield pa.RecordBatch.from_arrays([*cols, made], names=["anchor", "context", "n", "classes", "content"])
-
-    return texts.join(per_doc, ["_h", "_g"]).select("text", "_runs").mapInArrow(work, "anchor long, context long, n long, classes long, content binary")
-
-
-def _windows(kind: Kind, content: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the windows of all rows, windows of each row)."""
-    off = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1].astype(np.int64)
-    raw = np.frombuffer(content.buffers()[2], np.uint8)[off[0] : off[-1]]
-    off = off - off[0]
-    if kind.words:
-        return raw.copy().view(U), np.diff(off) // 8
-    counts = np.diff(off) - kind.length + 1
-    every = kernel.Rolling(kernel.byte_values(raw)).every(kind.length)
-    lead = np.repeat(off[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-    return every[lead + np.arange(counts.sum())], counts
-
-
-def _spans(again: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+                _, unit_off, data, at = kind.units(raw, off)
+                mine, n = int(ends[lo]), int(ends[hi] - ends[lo])
+                first = flat["first"].slice(mine, n).to_numpy() + np.repeat(unit_off[:-1], np.diff(ends[lo : hi + 1]))
+                begin, end = kind.span(at, first, first + flat["count"].slice(mine, n).to_numpy() + kind.length - 1)
+                piece, take = kernel.joined(data, begin, end)
+                made = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(take.astype(np.int32)), pa.py_buffer(piece)])
+                yield pa.RecordBatch.from_arrays([*(flat[f].slice(mine, n) for f in fields[2:]), made], names=[*fields[2:], "content"])
+
+    texts = docs.select("_h", "_g", "text").mapInArrow(needed, "_h long, _g long, text string")
+    one = texts.join(per_doc, ["_h", "_g"]).dropDuplicates(["_h", "_g"])
+    out, _ = materialise(one.select("text", "_runs").mapInArrow(work, "place int, anchor long, c1 long, c2 long, n long, hot boolean, content binary"), "repeat-contents")
+    forget(spark, path)
+    return out
+
+
+def spans_of(again: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
     """(rows that have a repeated window, their spans): first and last window of each run, one after the other."""
     row = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(again)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -160,96 +180,39 @@ def _spans(again: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, pa.ListAr
     return rows, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _by_anchor(batches: Iterator[pa.RecordBatch], step: int = STEP) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by anchor, regrouped so that no anchor is cut."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.nbytes
-        if size < step:
-            continue
-        whole = pa.concat_batches(held)
-        anchor = whole.column("anchor").to_numpy()
-        cut = int(np.searchsorted(anchor, anchor[-1]))
-        if cut:
-            yield whole.slice(0, cut)
-        held = [whole.slice(cut)]
-        size = held[0].num_rows * (size // max(1, whole.num_rows))
-    if held:
-        yield pa.concat_batches(held)
-
-
-def _compare_near(rows: DataFrame, kind: Kind) -> DataFrame:
-    """(anchor, context, spans) where all classes of an anchor come to one task."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _by_anchor(batches):
-            at = 0
-            while at < whole.num_rows:  # stretches of whole anchors, by the bytes they hold
-                anchor = whole.column("anchor").to_numpy()
-                end = min(whole.num_rows, at + max(1, STEP // 400))
-                if end < whole.num_rows:
-                    end = max(int(np.searchsorted(anchor, anchor[end])), int(np.searchsorted(anchor, anchor[at], side="right")))
-                block = whole.slice(at, end - at)
-                at = end
-                hashes, counts = _windows(kind, block.column("content"))
-                _, inverse = np.unique(hashes, return_inverse=True)
-                n = np.repeat(block.column("n").to_numpy(), counts)
-                rows_on, spans = _spans(np.bincount(inverse, weights=n)[inverse] > 1, counts)
-                pick = pa.array(rows_on)
-                yield pa.RecordBatch.from_arrays([block.column("anchor").take(pick), block.column("context").take(pick), spans], names=["anchor", "context", "spans"])
-
-    near = rows.select("anchor", "context", "n", "content").repartition("anchor").sortWithinPartitions("anchor")
-    return near.mapInArrow(work, "anchor long, context long, spans array<int>")
-
-
-def _compare_far(rows: DataFrame, kind: Kind) -> DataFrame:
-    """The same for anchors with many classes: windows are dealt out by their hashes."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                hashes, counts = _windows(kind, part.column("content"))
-                place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-                cols = [_long(hashes), *(pa.array(np.repeat(part.column(c).to_numpy(), counts)) for c in ("anchor", "context", "n")), pa.array(place.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["window", "anchor", "context", "n", "place"])
+#: Compares classes: contents (place, CLASS, n, hot, content) -> CLASS, spans; several rows of a class add up.
+Compare = Callable[[DataFrame, Kind], DataFrame]
 
-    dealt = rows.select("anchor", "context", "n", "content").repartition("anchor", "context")
-    far, _ = materialise(dealt.mapInArrow(explode, "window long, anchor long, context long, n long, place int"), "repeat-windows")
-    again = far.groupBy("window").agg(F.sum("n").alias("_n")).filter("_n > 1").select("window")
-    marked = far.join(again, "window").groupBy("anchor", "context").agg(F.sort_array(F.collect_list("place")).alias("p"))
-    starts = F.filter("p", lambda x, i: F.coalesce(F.get("p", i - 1) + 1 != x, F.lit(True)))
-    ends = F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1) - 1 != x, F.lit(True)))
-    return marked.select("anchor", "context", F.flatten(F.zip_with(starts, ends, lambda a, b: F.array(a, b))).alias("spans"))
 
-
-def repeated(docs: DataFrame, kind: Kind, classes: Callable[[DataFrame], DataFrame] = classes_by_join) -> DataFrame:
-    """(_h, _g, runs): for each keyed document with a repeated window the list of (first, count, spans).
+def repeated(docs: DataFrame, kind: Kind, compare: Compare) -> DataFrame:
+    """(_h, _g, runs): for each keyed document with a repeated window the set of (first, count, spans).
 
     spans is null if all windows of the run repeat; otherwise pairs of first and
     last window, counted from the run's first.
     """
     spark = docs.sparkSession
-    common, p1 = materialise(anchors(docs, kind).filter("n > 1").select("anchor"), "repeat-anchors")
+    common, p1 = materialise(anchors(docs, kind).filter("n > 1"), "repeat-anchors")
     sieve = bloom(common, "anchor", common.count())
+    hot = np.array([k for (k,) in hot_keys(common, "anchor")], np.int64)
     forget(spark, p1)
-    found, _ = materialise(occurrences(docs, kind, sieve), "repeat-found")
-    known, p2 = materialise(classes(found), "repeat-known")
+    found, _ = materialise(occurrences(docs, kind, sieve, hot), "repeat-found")
+    each, salted, p2 = classes(found)
+    # Whether an anchor has other classes: a hot one is taken to have, so that its classes need not meet.
+    several = each.filter("NOT hot").groupBy("anchor").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("anchor")
+    wanted = each.filter("NOT hot").join(several, "anchor", "left_semi").unionByName(each.filter("hot"))
+    settle(spark)
+    content = contents(docs, kind, wanted)
     settle(spark)
-    several = known.filter("classes > 1")
-    content, p3 = materialise(_content(docs, kind, several), "repeat-content")
+    learnt = compare(content, kind).join(each.filter("hot").select(*CLASS, F.lit(True).alias("hot")), list(CLASS), "left") if len(hot) else compare(content, kind).withColumn("hot", F.lit(False))
+    whole = each.filter("n > 1").select(*CLASS, F.lit(None).cast("array<int>").alias("spans"), "hot")
+    marks, p3 = materialise(whole.unionByName(learnt.select(*CLASS, "spans", F.coalesce("hot", F.lit(False)).alias("hot"))), "repeat-marks")
     settle(spark)
-    whole = known.filter("classes = 1").select("anchor", "context", F.lit(None).cast("array<int>").alias("spans"))
-    near = _compare_near(content.filter(F.col("classes") <= SPLIT), kind)
-    far = _compare_far(content.filter(F.col("classes") > SPLIT), kind)
-    marks, _ = materialise(whole.unionByName(near).unionByName(far), "repeat-marks")
+    parted = marks.filter("NOT hot").select(*CLASS, F.lit(0).alias("salt"), "spans").unionByName(marks.filter("hot").join(salted, list(CLASS)).select(*CLASS, "salt", "spans"))
+    runs = found.join(parted, [*CLASS, "salt"]).groupBy("_h", "_g").agg(F.collect_set(F.struct("first", "count", "spans")).alias("runs"))
+    out, _ = materialise(runs, "repeat-runs")
     forget(spark, p2, p3)
     settle(spark)
-    return found.join(marks, ["anchor", "context"]).groupBy("_h", "_g").agg(F.collect_list(F.struct("first", "count", "spans")).alias("runs"))
+    return out
 
 
 def covered(runs: pa.ListArray, base: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,27 +244,25 @@ def _left(raw: np.ndarray, units: np.ndarray, gone: np.ndarray, starts: np.ndarr
     kept = np.searchsorted(stay, units)
     if starts is None:
         return raw[stay], kept
-    size = ends[stay] - starts[stay] + 1
-    at = np.concatenate([[0], np.cumsum(size)])
-    where = np.repeat(starts[stay] - at[:-1], size) + np.arange(at[-1])
-    where[at[1:] - 1] = len(raw)  # the space
+    data, at = kernel.joined(raw, starts[stay], ends[stay], between=1)
     has = kept[1:] > kept[:-1]
-    drop = np.ones(len(where), bool)
-    drop[at[kept[1:][has]] - 1] = False
-    size_by_text = at[kept[1:]] - at[kept[:-1]] - has
-    return np.append(raw, np.uint8(32))[where[drop]], np.concatenate([[0], np.cumsum(size_by_text)])
+    on = np.ones(len(data), bool)
+    on[at[kept[1:][has]] - 1] = False
+    return data[on], np.concatenate([[0], np.cumsum(at[kept[1:]] - at[kept[:-1]] - has)])
 
 
-def remove(docs: DataFrame, kind: Kind, classes: Callable[[DataFrame], DataFrame] = classes_by_join, characters: bool = False) -> DataFrame:
+def remove(docs: DataFrame, kind: Kind, compare: Compare, characters: bool = False) -> DataFrame:
     """docs without text, with n_units, n_removed, n_spans and ``kept`` (binary): the units left, words joined by a space.
 
     With characters, bytes of a UTF-8 character that a stretch cuts go with it, so that kept stays text; the counts are unchanged.
     """
     new = ("n_units", "n_removed", "n_spans", "kept")
-    named = keyed(docs.drop("_h", "_g", "runs", *new))
-    runs = repeated(named, kind, classes)
-    keep = [c for c in named.columns if c not in ("_h", "_g", "text")]
-    schema = named.select(*keep).schema
+    own = docs.drop(*new)
+    keep = [c for c in own.columns if c != "text"]
+    schema = own.select(*[F.col(f"`{c}`") for c in keep]).schema
+    # The other columns travel in one, so that their names cannot meet those used here.
+    named = keyed(own.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_own")))
+    runs = repeated(named.select("_h", "_g", "text"), kind, compare)
     for c in new[:3]:
         schema = schema.add(c, "long")
     schema = schema.add("kept", "binary")
@@ -323,6 +284,6 @@ def remove(docs: DataFrame, kind: Kind, classes: Callable[[DataFrame], DataFrame
                 removed = np.bincount(text, weights=b - a, minlength=hi - lo).astype(np.int64)
                 spans = np.bincount(text, minlength=hi - lo)
                 kept = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(left.tobytes())])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(np.diff(units)), pa.array(removed), pa.array(spans), kept], names=[*keep, *new])
+                yield pa.RecordBatch.from_arrays([*part.column("_own").flatten(), pa.array(np.diff(units)), pa.array(removed), pa.array(spans), kept], names=[*keep, *new])
 
-    return named.join(runs, ["_h", "_g"], "left").select(*keep, "text", "runs").mapInArrow(work, schema)
+    return named.join(runs, ["_h", "_g"], "left").select("_own", "text", "runs").mapInArrow(work, schema)

@@ -15,89 +15,43 @@ files without rows.
 
 from __future__ import annotations
 
-import re
+import os
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernel
 from .shared import materialise, scratch_path, spread
 
-#: Bytes of a row group and of a page, rows of a page at most; remembered pieces.
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
+#: Bytes of a row group and of a page, rows of a page at most; bytes of text that are encoded at once, unless one text is longer.
 ROW_GROUP = 16 << 20
 PAGE = 64 << 10
 PAGE_ROWS = 2000
-CACHE = 400_000
-#: Fixed value: the pieces of byte-level vocabularies.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-
-
-# The same pieces for texts of letters below U+0250, in the faster of the two pattern engines.
-_DIGIT, _SPACE = "0-9²³¹¼½¾", " \\t-\\r\\x85\\xa0"
-_LETTER = "[^\\W\\d_²³¹¼½¾]"
-PLAIN_PIECES = f" ?{_LETTER}+| ?[{_DIGIT}]+|'(?:[stmd]|re|ve|ll)| ?(?:[^\\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-
-
-class Encoder:
-    """The tokenizers library, asked once for each different piece of text."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.pieces, self.plain_pieces = regex.compile(PIECES), re.compile(PLAIN_PIECES)
-        self.unusual, self.word = re.compile("[^\x00-\u024f]"), re.compile(f" ?{_LETTER}+")
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, new: set[str]) -> None:
-        """Ask for pieces that are not known.  Words keep apart in one text, by their spaces or by line ends, so one call serves them all."""
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-        for lead, between, step in ((" ", "", 1), ("", "\n", 2)):
-            words = [p for p in new if p.startswith(" ") == (lead == " ") and self.word.fullmatch(p)]
-            if words:  # a line end between two words is a piece of its own
-                got = self.library.encode(between.join(words), add_special_tokens=False)
-                ids, owner = np.asarray(got.ids, "<u4"), np.asarray(got.word_ids)
-                first, end = (np.searchsorted(owner, step * np.arange(len(words)) + k).tolist() for k in (0, 1))
-                for p, x, y in zip(words, first, end, strict=True):
-                    self.known[p] = ids[x:y].tobytes()
-        for p in new:
-            if p not in self.known:
-                self.known[p] = np.asarray(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """ids as little-endian 32-bit integers; texts with a special token in them go to the library whole."""
-        split: list[list[str] | bytes] = []
-        for t in texts:
-            if t and any(s in t for s in self.special):
-                split.append(np.asarray(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                split.append((self.pieces if self.unusual.search(t or "") else self.plain_pieces).findall(t or ""))
-        new: set[str] = set()
-        for pieces in split:
-            if isinstance(pieces, list):
-                new.update(pieces)
-        new = {p for p in new if p not in self.known}
-        if new:
-            if len(self.known) + len(new) > CACHE:  # what these texts hold is asked for again
-                new = {p for pieces in split if isinstance(pieces, list) for p in pieces}
-            self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) if isinstance(x, list) else x for x in split]
+STEP = 1 << 20
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def library(spec: bytes) -> Tokenizer:
+    """The tokenizers library with a tokenizer file's content, without truncation and padding."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_str(spec.decode())
+    made.no_padding()
+    made.no_truncation()
+    return made
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, files: int | None = None) -> None:
@@ -106,13 +60,15 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, fi
     tie = F.xxhash64("text")
     ordered = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())  # a few MB; the workers need not have the file
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, at = library(spec.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256)
-                coded = [ids + tail for ids in coder.encode(rows.column("text").to_pylist())]
+            for lo, hi, _, _ in kernel.chunks(batch.column("text"), STEP):
+                rows = batch.slice(lo, hi - lo)
+                texts = [t or "" for t in rows.column("text").to_pylist()]
+                coded = [np.asarray(e.ids, "<u4").tobytes() + tail for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
                 counts = np.array([len(c) // 4 for c in coded], "i8")
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 flat = np.frombuffer(b"".join(coded), "<i4")

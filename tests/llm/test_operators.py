@@ -60,9 +60,10 @@ def windows(all_units, length):
     return Counter(u[j : j + length] for u in all_units for j in range(len(u) - length + 1))
 
 
-@pytest.mark.parametrize("split", [2, 256])
-def test_substring_dedup(docs, monkeypatch, split):
-    monkeypatch.setattr(repeats, "SPLIT", split)
+@pytest.mark.parametrize("floor", [1, 256])
+def test_substring_dedup(docs, monkeypatch, floor):
+    """With a floor of 1 every seed that occurs twice is hot."""
+    monkeypatch.setattr(repeats, "FLOOR", floor)
     rows = docs.select("doc_id", "text").collect()
     again = windows([tuple(words(r["text"])) for r in rows], 35)
     want = []
@@ -75,9 +76,11 @@ def test_substring_dedup(docs, monkeypatch, split):
     assert sum(w[2] for w in want) > 300
 
 
-@pytest.mark.parametrize("split", [2, 256])
-def test_suffix_dedup(docs, monkeypatch, split):
-    monkeypatch.setattr(repeats, "SPLIT", split)
+@pytest.mark.parametrize(("floor", "bucket"), [(1, 2000), (256, 16 << 20)])
+def test_suffix_dedup(docs, monkeypatch, floor, bucket):
+    """With small buckets most groups of equal prefixes cross a boundary."""
+    monkeypatch.setattr(repeats, "FLOOR", floor)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
     rows = docs.select("doc_id", "text").collect()
     again = windows([(r["text"] or "").encode() for r in rows], 200)
     want = []
