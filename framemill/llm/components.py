@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Each round is two joins and two aggregates over the links; none gathers the
-neighbours of a node, so a node with any number of links is no burden.
+Each round is two joins and two aggregates over the links.  The links of a node
+are dealt out by salt, reduced per salt first, and get the node's result per salt,
+so that a node with any number of links is no burden.
 """
 
 from __future__ import annotations
@@ -9,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, materialise
-
-#: Rounds after which something must be wrong: they grow as the square of the logarithm of the longest chain.
-MOST_ROUNDS = 60
+from .shared import forget, least_by, materialise
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -21,16 +19,14 @@ def _both(links: DataFrame) -> DataFrame:
 
 def _large(links: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the smallest of the node and its neighbours."""
-    both = _both(links)
-    low = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
-    return both.filter("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
+    both = least_by(_both(links), "x", "y", "m", salt="y")
+    return both.filter("y > x").select(F.col("y").alias("x"), F.least("m", "x").alias("y"))
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, are tied to the smallest of them."""
-    down = links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-    low = down.groupBy("x").agg(F.min("y").alias("m"))
-    return down.join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(low.select("x", F.col("m").alias("y")))
+    down = least_by(links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")), "x", "y", "m", salt="y")
+    return down.select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(down.select("x", F.col("m").alias("y")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     now, path = materialise(links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).filter("x <> y").distinct(), "links")
     seen = None
-    for _ in range(MOST_ROUNDS):
+    # The rounds grow as the square of the logarithm of the longest chain; each but the last changes something.
+    while True:
         stars = _small(_large(now)).filter("x <> y").distinct()
         after, after_path = materialise(stars, "links")
         # The links that are left are stars once nothing changes; sums of hashes tell.
@@ -48,4 +45,3 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(mark) == seen:
             return now.select(F.col("x").alias("node"), F.col("y").alias("label")).unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("label")).distinct())
         seen = tuple(mark)
-    raise RuntimeError("components did not settle")

@@ -13,12 +13,17 @@
 3.  Nodes that share a signature are a list; lists with the same members count
     once.  In a list the parity bitmaps of the sets bound their difference from
     below, and of the pairs that may link a spanning forest goes on, never all
-    pairs.  Long lists are cut into blocks that meet pairwise.
-4.  Forest links are verified on the sets themselves.  A list all of whose links
-    hold is settled, for its other pairs lie in one component already.  Where a
-    link failed, every pair across components that may link is verified too.
+    pairs.  Long lists are cut into parts of ``BLOCK`` members that have two
+    members in common, so that a list of copies hangs together without its parts
+    meeting.
+4.  Forest links are verified on the words themselves.  A list all of whose links
+    hold and whose members lie in one component is settled.  In the others, the
+    members outside the list's largest component meet every part, and pairs across
+    components that may link are verified too.
 5.  Components over the verified links.
 
+Shingles are named by hashes of digests of words; a link is one of equal words.
+
 Defined cases: texts without words (or null) have an empty set and are linked
 with nothing; fewer words than a shingle are one shingle; repeated rows share
 their component; a null id is ignored for the smallest id of a component unless
@@ -27,8 +32,11 @@ it has no other; other columns pass through.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +47,8 @@ from . import kernel
 from .components import components
 from .filters import bloom, may_hold
 from .kernel import U, finish
-from .shared import forget, materialise, settle
+from .repeats import hot_keys
+from .shared import SALTS, forget, least_by, materialise, settle
 
 WORDS = 4
 PERCENT = 85
@@ -53,6 +62,8 @@ SMALL = 12
 LEAST = 10
 #: Members of a list that meet in one task.
 BLOCK = 512
+_SPACES = re.compile("[\x20\x09-\x0d]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Keys a worker remembers, so that copies need not send what is known.
 REMEMBERED = 1_000_000
 
@@ -76,7 +87,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np
 
 def key_of(found: np.ndarray) -> int:
     """A 64-bit name of a set."""
-    return int(finish(finish(found ^ U(0x94D049BB133111EB)).sum(dtype=U, keepdims=True) + U(len(found))).view(np.int64)[0])
+    return int.from_bytes(blake2b(found, digest_size=8).digest(), "little", signed=True)
 
 
 def _nodes_and_sketch(docs: DataFrame, words: int) -> DataFrame:
@@ -194,38 +205,49 @@ def _signed(docs: DataFrame, levels: np.ndarray, speakers: tuple[int, np.ndarray
     return docs.select("text", F.xxhash64("doc_id").alias("_id")).mapInArrow(work, "sig long, key long, n long, bits binary")
 
 
-def _sieved(rows: DataFrame, column: str, sieve: tuple[int, np.ndarray]) -> DataFrame:
-    """rows of two longs whose column passes the sieve."""
-    shared, names = rows.sparkSession.sparkContext.broadcast(sieve), rows.columns
+def _sieved(rows: DataFrame, sieve: tuple[int, np.ndarray], hot: np.ndarray) -> DataFrame:
+    """rows (sig, key) whose signature passes the sieve, with a salt, which is 0 unless the signature is hot."""
+    shared = rows.sparkSession.sparkContext.broadcast((sieve, hot))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, hot = shared.value
         for batch in batches:
-            keep = may_hold(shared.value, batch.column(column).to_numpy().view(U))
-            yield batch.filter(pa.array(keep))
+            sig, key = (batch.column(c).to_numpy() for c in ("sig", "key"))
+            keep = may_hold(sieve, sig.view(U))
+            sig, key = sig[keep], key[keep]
+            salt = np.where(np.isin(sig, hot), 1 + (finish(key.view(U).copy()) % U(SALTS)).astype(np.int64), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), pa.array(salt)], names=["sig", "key", "salt"])
 
-    return rows.mapInArrow(work, ", ".join(f"{c} long" for c in names))
+    return rows.select("sig", "key").mapInArrow(work, "sig long, key long, salt int")
 
 
 def lists(signed: DataFrame) -> DataFrame:
-    """(sig, i, j, part, key, n, bits): the members of lists of two nodes or more.
+    """(sig, part, parts, own, key, n, bits): the members of lists of two nodes or more.
 
-    A list longer than BLOCK is cut; part is a member's block, and block pair (i, j) holds both.
+    A list longer than BLOCK is cut into parts; a member is its own part's, and the two
+    with the smallest and the largest key are guests of all others.
     """
     spark = signed.sparkSession
     sigs = signed.filter("sig IS NOT NULL").select("sig", "key")
-    twice, p1 = materialise(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sig"), "jaccard-twice")
+    twice, p1 = materialise(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "jaccard-twice")
     settle(spark)
-    some, p2 = materialise(_sieved(sigs, "sig", bloom(twice, "sig", twice.count())), "jaccard-some")
+    hot = np.array([k for (k,) in hot_keys(twice, "sig")], np.int64)
+    some, p2 = materialise(_sieved(sigs, bloom(twice, "sig", twice.count()), hot), "jaccard-some")
     forget(spark, p1)
     half = lambda s: F.call_function("shiftrightunsigned", F.xxhash64("key", F.lit(s)), F.lit(33))
-    each = some.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum(half(1)).alias("a"), F.sum(half(2)).alias("b")).filter("lo < hi")
-    one = each.groupBy("c", "lo", "hi", "a", "b").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    members = some.join(one, "sig").select("sig", "key", "parts").distinct()
-    part = F.pmod(F.xxhash64("key", F.lit("part")), F.col("parts")).cast("int")
-    members = members.withColumn("part", part).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("sig", "key", "part", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"))
+    facts = {"c": F.count(F.lit(1)), "lo": F.min("key"), "hi": F.max("key"), "a": F.sum(half(1)), "b": F.sum(half(2))}
+    per_salt = some.groupBy("sig", "salt").agg(*[v.alias(k) for k, v in facts.items()])
+    # A hot signature has at most SALTS rows here.
+    joined = per_salt.filter("salt > 0").groupBy("sig").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    each = per_salt.filter("salt = 0").drop("salt").withColumn("_hot", F.lit(False)).unionByName(joined.withColumn("_hot", F.lit(True))).filter("lo < hi")
+    one = each.groupBy("c", "lo", "hi", "a", "b").agg(F.min("sig").alias("sig"), F.min_by("_hot", "sig").alias("_hot"))
+    one = one.select("sig", "lo", "hi", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"), F.explode(F.when(F.col("_hot"), F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    members = some.join(one, ["sig", "salt"]).select("sig", "key", "parts", F.col("key").isin(F.col("lo"), F.col("hi")).alias("_guest")).distinct()
+    home = F.pmod(F.xxhash64("key", F.lit("part")), F.col("parts")).cast("int")
+    members = members.withColumn("_home", home).withColumn("part", F.explode(F.when(F.col("_guest"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("_home"))))
+    members = members.select("sig", "part", "parts", (F.col("part") == F.col("_home")).alias("own"), "key")
     nodes = signed.filter("sig IS NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    out, _ = materialise(members.join(nodes, "key").select("sig", "i", "j", "part", "key", "n", "bits"), "jaccard-lists")
+    out, _ = materialise(members.join(nodes, "key").select("sig", "part", "parts", "own", "key", "n", "bits"), "jaccard-lists")
     forget(spark, p2)
     settle(spark)
     return out
@@ -239,8 +261,8 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def may_link(n: np.ndarray, bits: list[bytes], part: np.ndarray, across: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, difference at least) of members that can reach the threshold; if across, only of different parts."""
+def may_link(n: np.ndarray, bits: list[bytes], percent: int, label: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, difference at least) of members that can reach the threshold; with labels, only across them and not of two guests."""
     order = np.argsort(n, kind="stable")
     width = np.array([len(b) // 8 for b in bits])
     xs, ys, ds = [], [], []
@@ -259,8 +281,8 @@ def may_link(n: np.ndarray, bits: list[bytes], part: np.ndarray, across: bool, p
                 ok = (d * (100 + percent) <= (a + b) * (100 - percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
                 if v == w:
                     ok &= np.arange(at, top)[:, None] < np.arange(len(other))[None, :]
-                if across:
-                    ok &= part[mine[at:top]][:, None] != part[other][None, :]
+                if label is not None and own is not None:
+                    ok &= (label[mine[at:top]][:, None] != label[other][None, :]) & (own[mine[at:top]][:, None] | own[other][None, :])
                 p, q = np.nonzero(ok)
                 xs.append(mine[at:top][p])
                 ys.append(other[q])
@@ -287,14 +309,14 @@ def forest(x: np.ndarray, y: np.ndarray, worth: np.ndarray, size: int) -> list[i
 
 
 def _by_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of one list (and block pair) after another, from sorted batches."""
+    """The rows of one part of a list after another, from sorted batches."""
     held: pa.RecordBatch | None = None
     for batch in batches:
         whole = batch if held is None else pa.concat_batches([held, batch])
         if not whole.num_rows:
             continue
-        ids = [whole.column(c).to_numpy() for c in ("sig", "i", "j")]
-        cut = np.flatnonzero((ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1]) | (ids[2][1:] != ids[2][:-1])) + 1
+        sig, part = (whole.column(c).to_numpy() for c in ("sig", "part"))
+        cut = np.flatnonzero((sig[1:] != sig[:-1]) | (part[1:] != part[:-1])) + 1
         for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=False):
             yield whole.slice(a, b - a)
         held = whole.slice(int(cut[-1]) if len(cut) else 0)
@@ -302,26 +324,53 @@ def _by_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def _links(members: DataFrame, percent: int, label: bool) -> DataFrame:
-    """(sig, i, j, x, y): a forest of each list, or with label all pairs that may link across labels."""
+def _links(members: DataFrame, percent: int, labelled: bool) -> DataFrame:
+    """(sig, x, y): a forest of each part of a list, or if labelled all pairs across labels that may link."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group in _by_list(batches):
-            keys, n = group.column("key").to_numpy(), group.column("n").to_numpy()
-            part = group.column("label" if label else "part").to_numpy()
-            i, j, sig = (group.column(c)[0].as_py() for c in ("i", "j", "sig"))
-            x, y, d = may_link(n, group.column("bits").to_pylist(), part, label or i != j, percent)
-            take = range(len(x)) if label else forest(x, y, d / (n[x] + n[y]) if len(x) else d, len(n))
-            out += [(sig, i, j, *sorted((int(keys[x[t]]), int(keys[y[t]])))) for t in take]
+            keys, n, bits = group.column("key").to_numpy(), group.column("n").to_numpy(), group.column("bits").to_pylist()
+            if labelled:
+                x, y, _ = may_link(n, bits, percent, group.column("label").to_numpy(), group.column("own").to_numpy(zero_copy_only=False))
+                take = range(len(x))
+            else:
+                x, y, d = may_link(n, bits, percent)
+                take = forest(x, y, d / (n[x] + n[y]) if len(x) else d, len(n))
+            sig = group.column("sig")[0].as_py()
+            out += [(sig, *sorted((int(keys[x[t]]), int(keys[y[t]])))) for t in take]
             if len(out) > 20000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+    names = ["sig", "x", "y"]
+    return members.repartition("sig", "part").sortWithinPartitions("sig", "part").mapInArrow(work, "sig long, x long, y long")
+
+
+def _open(members: DataFrame, found: DataFrame, failed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with labels, of lists where a link failed or that have parts, as far as they can still link.
 
-    names, kinds = ["sig", "i", "j", "x", "y"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    return members.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(work, "sig long, i int, j int, x long, y long")
+    Members outside the largest label of their list are guests of every part.
+    """
+    named = members.join(labels, members["key"] == labels["node"], "left").withColumn("label", F.coalesce("label", "key")).drop("node")
+    lists_of = found.join(failed, ["x", "y"]).select("sig").unionByName(members.filter("parts > 1").select("sig")).distinct()
+    named = named.filter("own").join(lists_of, "sig", "left_semi")
+    size = named.groupBy("sig", "label", "parts").agg(F.count(F.lit(1)).alias("_n"))
+    most = size.groupBy("sig").agg(F.max_by("label", F.struct("_n", "label")).alias("_most"), F.count(F.lit(1)).alias("_labels"), F.first("parts").alias("_parts")).filter("_labels > 1")
+    most = most.select("sig", "_most", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
+    named = named.join(most, ["sig", "part"]).withColumn("_home", F.col("part"))
+    outside = F.col("label") != F.col("_most")
+    named = named.withColumn("part", F.explode(F.when(outside, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("_home"))))
+    return named.select("sig", "part", (F.col("part") == F.col("_home")).alias("own"), "label", "key", "n", "bits")
+
+
+@lru_cache(maxsize=1000)
+def exact_set(text: str, words: int) -> frozenset[tuple[str, ...]]:
+    """The shingles of a text that has words, by the words themselves."""
+    w = [x for x in _SPACES.split(text.translate(_LOWER)) if x]
+    return frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1)))
 
 
 def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -333,35 +382,42 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
-            keys, sets = [], []
-            for _, found in shingle_sets(batch.column(0), words):
+            keys, rows = [], []
+            for i, found in shingle_sets(batch.column(0), words):
                 if len(found) and (key := key_of(found)) not in known and may_hold(sieve.value, np.array([key]).view(U))[0]:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known.add(key)
                     keys.append(key)
-                    sets.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "found"])
+                    rows.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["key", "text"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                a, b = np.frombuffer(a, U), np.frombuffer(b, U)
-                both = len(np.intersect1d(a, b, assume_unique=True))
+            for one, other in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = exact_set(one, words), exact_set(other, words)
+                both = len(a & b)
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(ok)], names=["x", "y", "ok"])
 
-    sets, sets_path = materialise(docs.select("text").mapInArrow(fetch, "key long, found binary").join(ends, "key", "left_semi").groupBy("key").agg(F.first("found").alias("found")), "jaccard-sets")
-    with_x = pairs.join(sets.select(F.col("key").alias("x"), F.col("found").alias("a")), "x")
-    with_y = with_x.join(sets.select(F.col("key").alias("y"), F.col("found").alias("b")), "y")
-    out, _ = materialise(with_y.select("x", "y", "a", "b").mapInArrow(compare, "x long, y long, ok boolean"), "jaccard-verified")
+    sets, sets_path = materialise(docs.select("text").mapInArrow(fetch, "key long, text string").join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "jaccard-sets")
+    # A node of many links would draw them all to one task: pairs are dealt by a salt, and few texts are copied for it.
+    salt = F.pmod(F.xxhash64("x", "y"), F.lit(SALTS))
+    dealt = pairs.withColumn("_salt", salt)
+
+    def with_text(rows: DataFrame, end: str, name: str) -> DataFrame:
+        wanted = rows.select(end, "_salt").distinct().join(sets.select(F.col("key").alias(end), F.col("text").alias(name)), end)
+        return rows.join(wanted, [end, "_salt"])
+
+    both = with_text(with_text(dealt, "x", "a"), "y", "b")
+    out, _ = materialise(both.select("x", "y", "a", "b").mapInArrow(compare, "x long, y long, ok boolean"), "jaccard-verified")
     forget(spark, path, sets_path)
     return out
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id for every row; needs percent of 50 or more."""
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id for every row; needs percent of 80 or more."""
     if percent < 80:
         raise ValueError("the prefixes of small sets hold from 80 percent on")
     spark = docs.sparkSession
@@ -373,24 +429,25 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     settle(spark)
     members = lists(signed)
     forget(spark, p1)
-    found, p2 = materialise(_links(members, percent, label=False), "jaccard-links")
+    found, p2 = materialise(_links(members, percent, labelled=False), "jaccard-links")
     settle(spark)
     first = verify(docs, found.select("x", "y").distinct(), words, percent)
-    linked = first.filter("ok").select("x", "y")
-    failed = first.filter("NOT ok")
-    if not failed.isEmpty():
+    linked, failed = first.filter("ok").select("x", "y"), first.filter("NOT ok").select("x", "y")
+    if not (failed.isEmpty() and members.filter("parts > 1").isEmpty()):
         labels, p3 = materialise(components(linked), "jaccard-labels")
-        open_lists = found.join(failed, ["x", "y"]).select("sig", "i", "j").distinct()
-        again = members.join(open_lists, ["sig", "i", "j"], "left_semi").join(labels, members["key"] == labels["node"], "left").withColumn("label", F.coalesce("label", "key"))
-        more = _links(again.select("sig", "i", "j", "part", "label", "key", "n", "bits"), percent, label=True).select("x", "y").distinct().join(first, ["x", "y"], "left_anti")
+        more = _links(_open(members, found, failed, labels), percent, labelled=True).select("x", "y").distinct().join(first, ["x", "y"], "left_anti")
         more, p4 = materialise(more, "jaccard-more")
-        linked, _ = materialise(linked.unionByName(verify(docs, more, words, percent).filter("ok").select("x", "y")), "jaccard-linked")
+        if not more.isEmpty():
+            linked, _ = materialise(linked.unionByName(verify(docs, more, words, percent).filter("ok").select("x", "y")), "jaccard-linked")
         forget(spark, p3, p4)
-    labels = components(linked)
+    labels, _ = materialise(components(linked), "jaccard-components")
     forget(spark, p2)
     settle(spark)
-    each = plain.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("_low"))
-    each = each.join(labels, each["key"] == labels["node"], "left").select("key", F.coalesce("label", "key").alias("label"), "_low")
-    low = each.groupBy("label").agg(F.min("_low").alias("component_id"))
-    named = each.join(low, "label").select("key", "component_id")
-    return plain.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Copies of a text share a node and groups share a label: both are reduced and reached per salt.
+    each = plain.filter("n > 0").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).groupBy("key", "_salt").agg(F.min("doc_id").alias("_low"))
+    nodes = each.groupBy("key").agg(F.min("_low").alias("_low"))
+    nodes = nodes.join(labels, nodes["key"] == labels["node"], "left").select("key", F.coalesce("label", "key").alias("label"), "_low")
+    named = least_by(nodes, "label", "_low", "component_id", salt="key").select("key", "component_id")
+    parted = each.select("key", "_salt").join(named, "key")
+    rows = plain.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(parted, ["key", "_salt"], "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

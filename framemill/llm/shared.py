@@ -3,11 +3,15 @@
 Every operator that needs an intermediate result twice writes it as a Parquet
 table under ``spark.checkpoint.dir`` and reads it back, which also cuts lineage:
 a lost executor costs a re-read, not a recomputation.  The folder is read from
-the session; only where it is unset (tests, a laptop) one is chosen here.
+the session; only where it is unset and executors share the driver's disk (tests,
+a laptop) one is chosen here.  The tables of an application lie in one folder,
+which goes when Python ends; ``clear`` deletes it sooner.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -15,6 +19,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The words of the contract: maximal runs without the six ASCII white-space bytes.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -22,17 +27,43 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; set to a temporary one if unset."""
+    """The folder of ``spark.checkpoint.dir``; in local mode a temporary one if unset."""
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         got = f"file://{tempfile.mkdtemp(prefix='framemill-')}"
         spark.conf.set("spark.checkpoint.dir", got)
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
 
 
+_FOLDERS: set[tuple[str, str]] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/framemill/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/framemill/{app}"
+    if (app, folder) not in _FOLDERS:
+        if not _FOLDERS:
+            atexit.register(_clear_at_exit)
+        _FOLDERS.add((app, folder))
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of the application; results that were not written need them."""
+    for app, folder in [*_FOLDERS]:
+        if app == spark.sparkContext.applicationId:
+            forget(spark, folder)
+            _FOLDERS.discard((app, folder))
+
+
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the context may be on its way out
+            clear(spark)
 
 
 def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -77,3 +108,20 @@ def settle(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs whose results have been written; it does so when their objects are collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Parts that the rows of one key are dealt into.
+SALTS = 64
+
+
+def least_by(df: DataFrame, key: str, value: str, name: str, salt: str) -> DataFrame:
+    """df with ``name``: the smallest value of each key.
+
+    A window over the key would bring all its rows to one task.  Here rows are
+    reduced per (key, salt), a key's at most SALTS results per key, and the result
+    goes back the same way.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
+    part = salted.groupBy(key, "_salt").agg(F.min(value).alias("_m"))
+    low = part.groupBy(key).agg(F.min("_m").alias(name))
+    return salted.join(part.select(key, "_salt").join(low, key), [key, "_salt"]).drop("_salt")

@@ -138,6 +138,7 @@ def test_jaccard_on_a_dense_group(spark, monkeypatch, block):
     """Copies with one to ten edits each: some pairs link, some do not, and every shingle is frequent."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "RARE", 2)
+    monkeypatch.setattr(repeats, "FLOOR", block)
     rnd = random.Random(11)
     base = [f"t{k}" for k in range(100)]
     rows = []
@@ -168,6 +169,22 @@ def test_signatures_meet():
         assert break_even <= len(x) - len(y)
 
 
+def collide():
+    """Two words of 1024 letters that polynomials modulo 2**64 do not tell apart."""
+    a = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_hash_alike_stay_apart(spark):
+    """What differs in such a word neither links nor repeats."""
+    a, b = collide()
+    side = [" ".join(f"{s}{k}" for k in range(20)) for s in "xy"]
+    rows = [(k, f"{side[0]} {w} {side[1]}") for k, w in enumerate((a, b))] + [(k + 2, f"{w} only") for k, w in enumerate((a, b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup.dedup(df).collect()} == {0}
+    assert sorted(r["component_id"] for r in jaccard.groups(df).collect()) == [0, 1, 2, 3]
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(rnd.randint(200, 260), rnd.randint(200, 260)) for _ in range(40)]
