@@ -88,51 +88,50 @@ def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> tuple[list[str], np
     return names, (p / p.max(axis=1, keepdims=True)).astype(np.float32)
 
 
-def mixture(p: np.ndarray, weight: np.ndarray | None, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """EM over rows p (grams by languages): the proportions and the log likelihood."""
-    n, m = p.shape
+def mixture(p: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """EM over rows p (different grams by languages) that occur weight times: the proportions and the log likelihood."""
+    m, total = p.shape[1], np.float32(weight.sum())
     share = np.full(m, 1.0 / m, np.float32)
-    total = float(n if weight is None else weight.sum())
     if m > 1:
         for _ in range(rounds):
-            inverse = 1.0 / (p @ share)
-            if weight is not None:
-                inverse *= weight
-            share = share * (inverse @ p) / np.float32(total)
-    logs = np.log(p @ share)
-    return share, float(logs.sum(dtype=np.float64) if weight is None else (logs * weight).sum(dtype=np.float64))
+            share = share * ((weight / (p @ share)) @ p) / total
+    return share, float((np.log(p @ share) * weight).sum(dtype=np.float64))
 
 
 def identify(text: str | None, names: list[str], table: np.ndarray) -> tuple[str, float]:
+    """The language of the largest proportion and that proportion, in the set of the highest penalised likelihood.
+
+    The set grows from the likeliest single language by the language that gains
+    most, for as long as the gain exceeds the penalty.
+    """
     if not names or text is None or not _ANY.search(text):
         return "und", 0.0
-    found = cells(text)
-    weight = None
-    if len(found) > 4096:  # the same sums over distinct cells
-        counts = np.bincount(found, minlength=len(table))
-        found = np.flatnonzero(counts)
-        weight = counts[found].astype(np.float32)
+    found, counts = np.unique(cells(text), return_counts=True)
     if not len(found):
         return names[0], 1.0 / len(names)
-    p = table[found]
-    cost = PENALTY * np.log(max(2.0, float(len(found) if weight is None else weight.sum())))
-    share, most = mixture(p, weight)
-    order = sorted(range(len(names)), key=lambda i: (-share[i], i))
-    best = (order[:1], np.ones(1, np.float32), mixture(p[:, order[:1]], weight)[1])
-    for k in range(2, len(names) + 1):
-        if most <= best[2] + cost:  # no larger set can gain its penalty
+    p, weight = table[found], counts.astype(np.float32)
+    cost = PENALTY * np.log(max(2.0, float(counts.sum())))
+    alone = (np.log(p) * weight[:, None]).sum(axis=0, dtype=np.float64)
+    chosen = [int(np.argmax(alone))]
+    share, worth = np.ones(1, np.float32), float(alone[chosen[0]])
+    most = mixture(p, weight)[1] if len(names) > 1 else worth
+    while most > worth + cost:  # else no larger set can gain its penalty
+        tried = [(*mixture(p[:, [*chosen, i]], weight), i) for i in range(len(names)) if i not in chosen]
+        if not tried:
+            break
+        some, gained, i = max(tried, key=lambda t: (t[1], -t[2]))
+        if gained <= worth + cost:
             break
-        some, worth = mixture(p[:, order[:k]], weight)
-        if worth - cost * (k - 1) > best[2]:
-            best = (order[:k], some, worth - cost * (k - 1))
-    i = int(np.argmax(best[1]))
-    return names[best[0][i]], float(min(1.0, max(0.0, best[1][i])))
+        chosen.append(i)
+        share, worth = some, gained
+    best = max(range(len(chosen)), key=lambda k: (share[k], -chosen[k]))
+    return names[chosen[best]], float(min(1.0, max(0.0, share[best])))
 
 
 def predict(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
     """docs without text, with lang_pred and score.  The model has one vector of 2**CELL_BITS cells for each language."""
     keep = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")
     model = docs.sparkSession.sparkContext.broadcast((names, table))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

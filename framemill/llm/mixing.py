@@ -24,11 +24,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, materialise
+from .shared import SPACE, materialise, packed, unpacked
 
-#: Words in a block, buckets of a source's stream, slots that are ranked together.
+#: Words in a block, words in a bucket of a source's stream about (there are LEAST_BUCKETS at least), slots that are ranked together.
 BLOCK = 256
-BUCKETS = 512
+BUCKET = 1 << 22
+LEAST_BUCKETS = 512
 CHUNK = 4096
 #: Weights by rank of the source, share of all words, most uses of a source; 2**32 / golden ratio.
 WEIGHTS = (3, 1, 2)
@@ -67,17 +68,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return s.withColumn("target", target.cast("double")).drop("_limit", "_total", "_level", "_lambda")
 
 
-def streams(docs: DataFrame, sources: DataFrame, buckets: int = BUCKETS, seed: str = "mix") -> DataFrame:
-    """docs (doc_id, size, source, ...) with src, source_size, target and ``start``: the place of the first word in the source's stream."""
+def streams(docs: DataFrame, sources: DataFrame, seed: str = "mix") -> DataFrame:
+    """docs (doc_id, size, source, _text, ...) with src, source_size, target and ``start``: the place of the first word in the source's stream.
+
+    Buckets are ranges of the hash that orders the stream, so their number changes no place.
+    """
+    buckets = max(LEAST_BUCKETS, -(-(sources.agg(F.sum("source_size")).first()[0] or 0) // BUCKET))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     d = docs.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     d = d.withColumn("_key", key).withColumn("_bucket", (F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / SPAN).cast("int"))
     sums = d.groupBy("src", "_bucket").agg(F.sum("size").alias("_n"))
     earlier = Window.partitionBy("src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("src", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("src", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src", "_bucket").orderBy("_key", "doc_id", "size", "_text").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return d.join(sums, ["src", "_bucket"]).withColumn("start", F.col("_base") + F.col("_inside")).drop("_base", "_inside", "_bucket", "_key")
+    return d.join(sums, ["src", "_bucket"]).withColumn("start", F.col("_base") + F.col("_inside")).drop("_base", "_inside", "_bucket", "_key", "_text")
 
 
 def schedule(sources: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
@@ -137,7 +142,7 @@ def pieces(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame
 
 def place(docs: DataFrame, keep: tuple[str, ...] = (), block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The placed documents (doc_id, size, source, keep, src, source_size, target, start) and the schedule."""
-    d, _ = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep), "mix-sizes")
+    d, _ = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), *keep), "mix-sizes")
     sources, _ = materialise(source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size"))).repartition(1), "mix-sources")
     return streams(d, sources.drop("weight")), schedule(sources, block)
 
@@ -157,19 +162,16 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix itself: a row for each use of a document, with the columns of docs and the words that the use takes as its text.
 
     A use that takes all words has the text as it was; another has its words
-    joined by a space.  n_chars, if there is one, is that of the new text.
+    joined by a space.  n_chars, if there is one, is that of the new text.  Rows are
+    numbered in a table of their own, so equal rows are as far apart as others.
     """
-    named = docs.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(1))).withColumn("_g", F.xxhash64("text", F.lit(2), "source"))
-    placed, slots = place(named, ("_h", "_g"), block)
-    uses = pieces(placed, slots, block).filter("words > 0").groupBy("src", "start", "size", "_h", "_g", "epoch").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
-    # Equal rows are told apart by a number; it is compared, not joined on, so both sides stay dealt by the row's name.
-    same = Window.partitionBy("_h", "_g")
-    uses = uses.withColumn("_use", F.dense_rank().over(same.orderBy("start"))).withColumnRenamed("_h", "_uh").withColumnRenamed("_g", "_ug")
-    rows = named.withColumn("_row", F.row_number().over(same.orderBy("_h")))
-    taken = rows.join(uses, (F.col("_h") == F.col("_uh")) & (F.col("_g") == F.col("_ug")) & (F.abs(F.col("_row") - F.col("_use")) < 1))
+    named, _ = materialise(packed(docs, "doc_id", "text", "source").withColumn("_id", F.monotonically_increasing_id()), "mix-rows")
+    placed, slots = place(named, ("_id",), block)
+    uses = pieces(placed, slots, block).filter("words > 0").groupBy("_id", "size", "epoch").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
+    taken = named.select("_id", "_row", "text").join(uses, "_id")
     words = F.slice(F.array_remove(F.split("text", SPACE), ""), (F.col("first") + 1).cast("int"), F.col("words").cast("int"))
-    text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " "))
-    out = taken.withColumn("text", text)
+    out = taken.withColumn("text", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " ")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return unpacked(out, docs.columns, **new)

@@ -1,11 +1,13 @@
 """Quality rules as a short-circuit cascade (DataFrame functions only).
 
 ``measures`` derives the base counts of every text with array expressions inside
-one row, so nothing is shuffled.  ``cascade`` looks at a bounded sample to learn
-how many rows each rule rejects and what its inputs cost there, orders the rules
-by rejections per cost, and folds them into one ``CASE WHEN``: Spark evaluates a
+one row, so nothing is shuffled.  ``cascade`` draws a bounded sample of the texts,
+times every rule on it and looks which rows it rejects, then orders the rules: the
+next one is that with the most rejections per second among the rows that passed
+those before.  The rules are folded into one ``CASE WHEN``: Spark evaluates a
 later rule only for rows that passed all the earlier ones.  The verdict is a
-conjunction, so the order changes the work and never the result.
+conjunction, so the order changes the work and never the result; only
+``rejected_by`` depends on it where several rules reject a row.
 
 Defined cases: a null or empty text has no words and every count is 0, so it
 fails the base rules; a null ``doc_id`` is kept as it is; repeated rows are
@@ -15,65 +17,54 @@ input that bears the name of a result column is replaced.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE
+from .shared import SPACE, forget, materialise, packed
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Rows that the order of the rules is learnt from, and the share they are drawn by.
+#: Rows that the order of the rules is learnt from, and how often a rule is applied to each of them when it is timed.
 SAMPLE_ROWS = 1000
-SAMPLE_SHARE = 0.05
+TIMES = 4
 
 #: Columns that ``measures`` adds.
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_HELP = ("_words", "_hashes", "_bits", "_sorted", "_starts", "_lines")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """reject: true where the row fails.  cost: work units of one row, from what it reads."""
+    """reject: true where the row fails."""
 
     name: str
     reject: Callable[[], Column]
-    cost: Callable[[], Column]
 
 
 def _c(name: str) -> Column:
     return F.col(name)
 
 
-#: One unit is a comparison of counts that are there already; scans of the text count its characters.
 RULES: tuple[Rule, ...] = (
-    Rule("symbols", lambda: _c("n_symbols") * 4 > _c("n_words"), lambda: F.lit(1.0)),
-    Rule("duplicate_lines", lambda: _c("n_dup_lines") * 3 > _c("_n_lines"), lambda: F.lit(1.0)),
-    Rule("word_length", lambda: ~(_c("word_chars") / F.greatest(_c("n_words"), F.lit(1))).between(2, 15), lambda: F.lit(1.5)),
-    Rule(
-        "shouting",
-        lambda: F.size(F.split("text", "!+[\\x20\\x09-\\x0D]")) * 4 > _c("n_words"),
-        lambda: 1 + F.coalesce(F.length("text"), F.lit(0)) / 8,
-    ),
-    Rule(
-        "no_lower_case",
-        lambda: F.length(F.regexp_replace("text", "\\P{Lu}+", "")) * 2 > _c("word_chars"),
-        lambda: 1 + F.coalesce(F.length("text"), F.lit(0)) / 4,
-    ),
+    Rule("symbols", lambda: _c("n_symbols") * 4 > _c("n_words")),
+    Rule("duplicate_lines", lambda: _c("n_dup_lines") * 3 > _c("_n_lines")),
+    Rule("word_length", lambda: ~(_c("word_chars") / F.greatest(_c("n_words"), F.lit(1))).between(2, 15)),
+    Rule("shouting", lambda: F.size(F.split("text", "!+[\\x20\\x09-\\x0D]")) * 4 > _c("n_words")),
+    Rule("no_lower_case", lambda: F.length(F.regexp_replace("text", "\\P{Lu}+", "")) * 2 > _c("word_chars")),
 )
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with BASE and ``_n_lines`` (lines that have a word).
+    """docs (text, and columns whose names begin with _row) with BASE and ``_n_lines`` (lines that have a word).
 
     Windows of three words are compared by a 64-bit hash cut to the bits that a
     position leaves free, then by the hashes of the three words themselves.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.drop(*[c for c in docs.columns if c in BASE or c in _HELP or c == "_n_lines"])
-    d = d.withColumn("_words", F.array_remove(F.split(t, SPACE), ""))
+    d = docs.withColumn("_words", F.array_remove(F.split(t, SPACE), ""))
     d = d.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     d = d.select(
         *[c for c in d.columns if c not in ("_words", "_lines")],
@@ -113,30 +104,48 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
 
 
-def order_rules(measured: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, share: float = SAMPLE_SHARE) -> list[Rule]:
-    """Rules by rejections per cost, on a sample of at most sample_rows rows; ties keep the given order."""
-    if not rules:
-        return []
-    sample = measured.sample(share, seed=7).limit(sample_rows).filter(~base_failed())
-    seen = sample.agg(
-        *[F.avg(F.coalesce(r.reject(), F.lit(False)).cast("int")).alias(f"r{i}") for i, r in enumerate(rules)],
-        *[F.avg(r.cost()).alias(f"c{i}") for i, r in enumerate(rules)],
-    ).first()
-    worth = [(seen[f"r{i}"] or 0.0) / max(seen[f"c{i}"] or 1.0, 1e-9) for i in range(len(rules))]
-    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-worth[i], i))]
-
-
-def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
+def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules in the order of the cascade, learnt from at most sample_rows rows of docs (text); ties keep the given order."""
+    if len(rules) < 2:
+        return list(rules)
+    n = docs.count()
+    some = docs.select("text").sample(min(1.0, 4.0 * sample_rows / max(1, n)), seed=7).limit(sample_rows)
+    sample, path = materialise(measures(some), "rules-sample")  # a filter on top would be pushed into the measures
+    sample = sample.filter(~base_failed())
+    again = sample.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(TIMES))))
+
+    def seconds(what: Column) -> float:
+        began = time.perf_counter()
+        again.agg(F.sum(what)).first()
+        return time.perf_counter() - began
+
+    one = lambda r: F.coalesce(r.reject(), F.lit(False)).cast("int") + F.col("_k") * 0
+    seconds(F.col("_k"))  # the first reading of the sample counts for none
+    idle = seconds(F.col("_k") + F.octet_length("text"))
+    cost = [max(seconds(one(r)) - idle, 1e-3) for r in rules]
+    # A flag for each rule and row of the sample.
+    left = [list(r) for r in sample.select(*[F.coalesce(r.reject(), F.lit(False)) for r in rules]).collect()]
+    forget(sample.sparkSession, path)
+    rest, out = list(range(len(rules))), []
+    while rest:
+        best = max(rest, key=lambda i: (sum(row[i] for row in left) / cost[i], -i))
+        out.append(rules[best])
+        rest.remove(best)
+        left = [row for row in left if not row[best]]
+    return out
+
+
+def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with BASE, ``base_failed``, ``kept`` and ``rejected_by`` (the first rule that fired, or null)."""
-    d = docs.drop("base_failed", "kept", "rejected_by")
-    if text != "text":
-        raise ValueError("rules read the column text")
-    measured = measures(d, text)
+    new = (*BASE, "base_failed", "kept", "rejected_by")
+    columns = [c for c in docs.columns if c not in new]
+    measured = measures(packed(docs.drop(*new), "text"))
     verdict = F.when(base_failed(), F.lit("base"))
-    for r in order_rules(measured, rules):
+    for r in order_rules(docs, rules, sample_rows):
         verdict = verdict.when(r.reject(), F.lit(r.name))
     # A filter on the verdict must not be pushed below the measures, which would be derived again inside
     # their own lambdas; Spark leaves a filter above a projection that is not deterministic.
     verdict = F.when(F.monotonically_increasing_id() >= 0, verdict)
     out = measured.withColumn("base_failed", base_failed()).withColumn("rejected_by", verdict)
-    return out.withColumn("kept", F.col("rejected_by").isNull()).drop("_n_lines")
+    out = out.withColumn("kept", F.col("rejected_by").isNull())
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in columns], *new)

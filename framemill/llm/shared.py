@@ -16,9 +16,10 @@ import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The words of the contract: maximal runs without the six ASCII white-space bytes.
@@ -114,14 +115,24 @@ def settle(spark: SparkSession) -> None:
 SALTS = 64
 
 
-def least_by(df: DataFrame, key: str, value: str, name: str, salt: str) -> DataFrame:
-    """df with ``name``: the smallest value of each key.
+def least_by(df: DataFrame, key: str, value: str, name: str, salt: str, pick: Callable[[str], Column] = F.min) -> DataFrame:
+    """df with ``name``: the smallest value of each key, or what pick takes.
 
     A window over the key would bring all its rows to one task.  Here rows are
     reduced per (key, salt), a key's at most SALTS results per key, and the result
     goes back the same way.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
-    part = salted.groupBy(key, "_salt").agg(F.min(value).alias("_m"))
-    low = part.groupBy(key).agg(F.min("_m").alias(name))
+    part = salted.groupBy(key, "_salt").agg(pick(value).alias("_m"))
+    low = part.groupBy(key).agg(pick("_m").alias(name))
     return salted.join(part.select(key, "_salt").join(low, key), [key, "_salt"]).drop("_salt")
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns of docs, and ``_row``, a struct of all: whatever columns there are, their names meet no others."""
+    return docs.select(*[F.col(f"`{n}`") for n in names], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of ``_row``, with new values for some of them."""
+    return rows.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in columns])

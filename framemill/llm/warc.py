@@ -11,8 +11,9 @@ Of equal payloads one is stored whole (``response``) and the others are
 ``revisit`` records that refer to it.  Rows are matched with their roles by a key
 of id, URL and digest, so equal payloads, however many, never meet in one task.
 
-Reading: archives come back as whole files, which the writer's partitions keep
-small; records are cut by their lengths, never by looking for separators.  A
+Reading: archives come back as whole files, which hold ``ARCHIVE`` bytes of
+payload and headers on average, however large the corpus; records are cut by
+their lengths, never by looking for separators.  A
 capture is the group of records that name the same record as concurrent, and the
 group is reduced by aggregates without collecting it.
 
@@ -34,11 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import scratch_path
+from .shared import least_by, scratch_path, spread
 
 #: A gzip member holds less than this, so that the last byte of its length is zero.
 MEMBER = (1 << 24) - (1 << 16)
 LEVEL = 2
+#: Bytes of an archive before compression, about, and of the records of a capture beside the payload.
+ARCHIVE = 64 << 20
+HEADS = 1500
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -55,10 +59,13 @@ def roles(pages: DataFrame, least: int = 0) -> DataFrame:
     """
     p = pages.withColumn("_sha", F.sha1("payload")).withColumn("_url", F.xxhash64("url"))
     key = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.col("_url").cast("string"), F.col("_sha"))
+    size = p.agg(F.sum(F.octet_length("payload") + HEADS)).first()[0] or 0
     p = p.withColumn("_key", key)
     rows = p.filter(F.octet_length("payload") >= least).groupBy("_key", "_sha", "page_id", "_url").agg(F.count(F.lit(1)).alias("_n"))
-    best = rows.groupBy("_sha").agg(F.max(F.struct("page_id", "_url", "_n")).alias("_best"))
-    facts = rows.join(best, "_sha").select("_key", "_best", (F.col("_best.page_id").eqNullSafe(F.col("page_id")) & (F.col("_best._url") == F.col("_url"))).alias("_is"))
+    rows = rows.withColumn("_me", F.struct("page_id", "_url", "_n"))
+    facts = least_by(rows, "_sha", "_me", "_best", salt="_key", pick=F.max).select("_key", "_best", (F.col("_best.page_id").eqNullSafe(F.col("page_id")) & (F.col("_best._url") == F.col("_url"))).alias("_is"))
+    # One shuffle of the payloads, into as many archives as keep each small.
+    p = p.repartition(max(spread(pages.sparkSession), -(-size // ARCHIVE)), "_key")
     p = p.join(facts, "_key", "left").withColumn("copy", F.row_number().over(Window.partitionBy("_key").orderBy("_url")))
     whole = F.col("_best").isNull() | (F.col("_is") & (F.col("copy") == F.col("_best._n")))
     return p.select(
