@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framemill.llm import bpe, jaccard, mixing, quality_rules, repeats, suffix_dedup
 from framemill.llm.queries import tokenizer
-from framemill.llm.shared import materialise, ship
+from framemill.llm.shared import materialise, packed, ship, unpacked
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,26 +24,26 @@ NEAR_PERCENT = 80
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality_rules.cascade(docs).filter("kept").select(*docs.columns)
+    return unpacked(quality_rules.cascade(packed(docs, "text")).filter("kept"), docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked by near equality the one with the smallest id; of equal rows one."""
     ship(spark)
-    named = repeats.keyed(docs)
+    named = repeats.keyed(packed(docs, "doc_id", "text"))
     found = jaccard.groups(named.select(F.struct("doc_id", "_h", "_g").alias("doc_id"), "text"), words=NEAR_WORDS, percent=NEAR_PERCENT)
     stay = found.filter("doc_id = component_id").select("doc_id._h", "doc_id._g").distinct()
-    rows = named.join(stay, ["_h", "_g"]).withColumn("_row", F.row_number().over(Window.partitionBy("_h", "_g").orderBy("_h")))
-    return rows.filter("_row = 1").select(*docs.columns)
+    return unpacked(named.join(stay, ["_h", "_g"]).dropDuplicates(["_h", "_g"]), docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that occur elsewhere; what has no word left goes."""
     ship(spark)
-    cut = suffix_dedup.dedup(docs, characters=True).withColumn("text", F.col("kept").cast("string"))
+    cut = suffix_dedup.dedup(packed(docs, "doc_id", "text"), characters=True).withColumn("_text", F.col("kept").cast("string"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return unpacked(cut.filter(F.col("_text").rlike("[^\\x20\\x09-\\x0D]")), docs.columns, **new)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
