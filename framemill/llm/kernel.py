@@ -1,6 +1,6 @@
 """Array kernels over the raw bytes of many texts at once: words, rolling hashes, anchors of windows.
 
-Units (words or bytes) have 64-bit values; that of a word is a digest of its
+Units (words or bytes) have 64-bit values; that of a long word is a digest of its
 bytes.  A polynomial over prefix sums gives the hash of any run of units in two
 look-ups, without a loop over positions.  These hashes choose anchors and bring
 candidates together; what is equal is decided on contents elsewhere.
@@ -149,11 +149,20 @@ def word_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
 def word_values(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, U)
-    codes, words = word_codes(raw, starts, ends)
-    return np.array([_value(w) for w in words], U)[codes]
+    """64-bit values of words: of up to eight bytes, the bytes themselves, spread; of more, a digest."""
+    size = ends - starts
+    eight = np.ndarray(len(raw) + 1, "<u8", buffer=np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    short = np.minimum(size, 8)
+    out = finish((eight[starts] & _MASKS[short]) ^ finish(short.astype(U) + U(1)))
+    far = np.flatnonzero(size > 8)
+    if len(far):
+        codes, words = word_codes(raw, starts[far], ends[far])
+        out[far] = np.array([_value(w) for w in words], U)[codes]
+    return out
 
 
 def byte_values(raw: np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ from .shared import forget, materialise, settle
 
 #: A key with more than 1 in SHARE rows, and more than FLOOR, is hot; parts of a hot key.
 SHARE = 1024
-FLOOR = 256
+FLOOR = 64
 PARTS = 64
 CLASS = ("anchor", "c1", "c2")
 
