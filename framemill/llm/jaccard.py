@@ -175,8 +175,8 @@ def bitmap(found: np.ndarray) -> np.ndarray:
 def _signed(docs: DataFrame, levels: np.ndarray, speakers: tuple[int, np.ndarray], words: int, percent: int) -> DataFrame:
     """Rows (sig, key), and for every node a row (key, n, bits).
 
-    Of equal sets the document with the smallest id speaks; what else passes the
-    filter of speakers is a harmless repetition.
+    Of equal sets the document with the smallest id speaks, and only its text is
+    read; what else passes the filter of speakers is a harmless repetition.
     """
     shared, spoken = (docs.sparkSession.sparkContext.broadcast(x) for x in (levels, speakers))
 
@@ -184,9 +184,9 @@ def _signed(docs: DataFrame, levels: np.ndarray, speakers: tuple[int, np.ndarray
         known: set[int] = set()
         for batch in batches:
             keys, sizes, bits, sigs = [], [], [], []
-            ids = batch.column("_id").to_numpy()
-            for i, found in shingle_sets(batch.column("text"), words):
-                if not len(found) or (key := key_of(found)) in known or not may_hold(spoken.value, (ids[i : i + 1] ^ np.int64(key)).view(U))[0]:
+            some = batch.filter(pa.array(may_hold(spoken.value, batch.column("_id").to_numpy().view(U))))
+            for _, found in shingle_sets(some.column("text"), words):
+                if not len(found) or (key := key_of(found)) in known:
                     continue
                 if len(known) >= REMEMBERED:
                     known.clear()
@@ -366,31 +366,37 @@ def _open(members: DataFrame, found: DataFrame, failed: DataFrame, labels: DataF
     return named.select("sig", "part", (F.col("part") == F.col("_home")).alias("own"), "label", "key", "n", "bits")
 
 
-@lru_cache(maxsize=1000)
+@lru_cache(maxsize=64)
 def exact_set(text: str, words: int) -> frozenset[tuple[str, ...]]:
     """The shingles of a text that has words, by the words themselves."""
     w = [x for x in _SPACES.split(text.translate(_LOWER)) if x]
     return frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1)))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs (x, y) with ``ok``: whether the sets of the two nodes reach the threshold."""
+def verify(docs: DataFrame, pairs: DataFrame, speakers: DataFrame, words: int, percent: int) -> DataFrame:
+    """pairs (x, y) with ``ok``: whether the sets of the two nodes reach the threshold.
+
+    speakers (key, speaker): the hash of the id of a document of each node.
+    """
     spark = docs.sparkSession
     ends, path = materialise(pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct(), "jaccard-ends")
-    sieve = spark.sparkContext.broadcast(bloom(ends, "key", ends.count()))
+    n = ends.count()
+    sieve = spark.sparkContext.broadcast((bloom(ends, "key", n), bloom(speakers.join(ends, "key", "left_semi"), "speaker", n)))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
             keys, rows = [], []
-            for i, found in shingle_sets(batch.column(0), words):
-                if len(found) and (key := key_of(found)) not in known and may_hold(sieve.value, np.array([key]).view(U))[0]:
+            wanted, speaking = sieve.value
+            some = batch.filter(pa.array(may_hold(speaking, batch.column("_id").to_numpy().view(U)))).column("text")
+            for i, found in shingle_sets(some, words):
+                if len(found) and (key := key_of(found)) not in known and may_hold(wanted, np.array([key]).view(U))[0]:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known.add(key)
                     keys.append(key)
                     rows.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["key", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), some.take(pa.array(rows, pa.int64()))], names=["key", "text"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,16 +407,10 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(ok)], names=["x", "y", "ok"])
 
-    sets, sets_path = materialise(docs.select("text").mapInArrow(fetch, "key long, text string").join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "jaccard-sets")
-    # A node of many links would draw them all to one task: pairs are dealt by a salt, and few texts are copied for it.
-    salt = F.pmod(F.xxhash64("x", "y"), F.lit(SALTS))
-    dealt = pairs.withColumn("_salt", salt)
-
-    def with_text(rows: DataFrame, end: str, name: str) -> DataFrame:
-        wanted = rows.select(end, "_salt").distinct().join(sets.select(F.col("key").alias(end), F.col("text").alias(name)), end)
-        return rows.join(wanted, [end, "_salt"])
-
-    both = with_text(with_text(dealt, "x", "a"), "y", "b")
+    texts = docs.select("text", F.xxhash64("doc_id").alias("_id")).mapInArrow(fetch, "key long, text string")
+    sets, sets_path = materialise(texts.join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "jaccard-sets")
+    with_x = pairs.join(sets.select(F.col("key").alias("x"), F.col("text").alias("a")), "x")
+    both = with_x.join(sets.select(F.col("key").alias("y"), F.col("text").alias("b")), "y")
     out, _ = materialise(both.select("x", "y", "a", "b").mapInArrow(compare, "x long, y long, ok boolean"), "jaccard-verified")
     forget(spark, path, sets_path)
     return out
@@ -424,24 +424,25 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     rows, _ = materialise(_nodes_and_sketch(docs, words), "jaccard-rows")
     plain = rows.filter("slice IS NULL").select("doc_id", "n", "key")
     total = plain.agg(F.sum("n")).first()[0] or 0
-    speakers = plain.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("low")).select(F.xxhash64("low").bitwiseXOR(F.col("key")).alias("speaker"))
+    speakers = plain.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("low")).select("key", F.xxhash64("low").alias("speaker"))
+    speakers, p5 = materialise(speakers, "jaccard-speakers")
     signed, p1 = materialise(_signed(docs, _classes(rows, total), bloom(speakers, "speaker", speakers.count()), words, percent), "jaccard-signed")
     settle(spark)
     members = lists(signed)
     forget(spark, p1)
     found, p2 = materialise(_links(members, percent, labelled=False), "jaccard-links")
     settle(spark)
-    first = verify(docs, found.select("x", "y").distinct(), words, percent)
+    first = verify(docs, found.select("x", "y").distinct(), speakers, words, percent)
     linked, failed = first.filter("ok").select("x", "y"), first.filter("NOT ok").select("x", "y")
     if not (failed.isEmpty() and members.filter("parts > 1").isEmpty()):
         labels, p3 = materialise(components(linked), "jaccard-labels")
         more = _links(_open(members, found, failed, labels), percent, labelled=True).select("x", "y").distinct().join(first, ["x", "y"], "left_anti")
         more, p4 = materialise(more, "jaccard-more")
         if not more.isEmpty():
-            linked, _ = materialise(linked.unionByName(verify(docs, more, words, percent).filter("ok").select("x", "y")), "jaccard-linked")
+            linked, _ = materialise(linked.unionByName(verify(docs, more, speakers, words, percent).filter("ok").select("x", "y")), "jaccard-linked")
         forget(spark, p3, p4)
     labels, _ = materialise(components(linked), "jaccard-components")
-    forget(spark, p2)
+    forget(spark, p2, p5)
     settle(spark)
     # Copies of a text share a node and groups share a label: both are reduced and reached per salt.
     each = plain.filter("n > 0").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).groupBy("key", "_salt").agg(F.min("doc_id").alias("_low"))

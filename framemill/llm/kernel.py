@@ -127,7 +127,7 @@ def joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, between: int =
 
 #: Values of words that were met, so that a digest is taken once; longer words are not remembered.
 _VALUES: dict[bytes, int] = {}
-_REMEMBERED, _LONGEST = 1_000_000, 64
+_REMEMBERED, _LONGEST = 100_000, 64
 
 
 def _value(word: bytes) -> int:

@@ -165,13 +165,14 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     joined by a space.  n_chars, if there is one, is that of the new text.  Rows are
     numbered in a table of their own, so equal rows are as far apart as others.
     """
-    named, _ = materialise(packed(docs, "doc_id", "text", "source").withColumn("_id", F.monotonically_increasing_id()), "mix-rows")
+    own = ("doc_id", "text", "source")
+    named, _ = materialise(packed(docs, *own).withColumn("_id", F.monotonically_increasing_id()), "mix-rows")
     placed, slots = place(named, ("_id",), block)
     uses = pieces(placed, slots, block).filter("words > 0").groupBy("_id", "size", "epoch").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
-    taken = named.select("_id", "_row", "text").join(uses, "_id")
+    taken = named.join(uses, "_id")
     words = F.slice(F.array_remove(F.split("text", SPACE), ""), (F.col("first") + 1).cast("int"), F.col("words").cast("int"))
     out = taken.withColumn("text", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " ")))
-    new = {"text": F.col("text")}
+    new = {}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return unpacked(out, docs.columns, **new)
+    return unpacked(out, docs.columns, *own, **new)

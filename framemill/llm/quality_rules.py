@@ -148,4 +148,4 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = S
     verdict = F.when(F.monotonically_increasing_id() >= 0, verdict)
     out = measured.withColumn("base_failed", base_failed()).withColumn("rejected_by", verdict)
     out = out.withColumn("kept", F.col("rejected_by").isNull())
-    return out.select(*[F.col("_row").getField(c).alias(c) for c in columns], *new)
+    return out.select(*[(F.col("text") if c == "text" else F.col("_row").getField(c)).alias(c) for c in columns], *new)

@@ -129,10 +129,12 @@ def least_by(df: DataFrame, key: str, value: str, name: str, salt: str, pick: Ca
 
 
 def packed(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns of docs, and ``_row``, a struct of all: whatever columns there are, their names meet no others."""
-    return docs.select(*[F.col(f"`{n}`") for n in names], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """The named columns of docs, and ``_row``, a struct of the others: whatever those are called, they meet no other name."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*[F.col(f"`{n}`") for n in names], F.struct(*(rest or [F.lit(0).alias("none")])).alias("_row"))
 
 
-def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
-    """The columns of ``_row``, with new values for some of them."""
-    return rows.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in columns])
+def unpacked(rows: DataFrame, columns: list[str], *names: str, **new: Column) -> DataFrame:
+    """The columns that packed was given with names; new holds what takes their place."""
+    own = {n: F.col(f"`{n}`") for n in names} | new
+    return rows.select(*[(own[c] if c in own else F.col("_row").getField(c)).alias(c) for c in columns])
