@@ -24,7 +24,7 @@ NEAR_PERCENT = 80
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return unpacked(quality_rules.cascade(packed(docs, "text")).filter("kept"), docs.columns)
+    return unpacked(quality_rules.cascade(packed(docs, "text")).filter("kept"), docs.columns, "text")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     named = repeats.keyed(packed(docs, "doc_id", "text"))
     found = jaccard.groups(named.select(F.struct("doc_id", "_h", "_g").alias("doc_id"), "text"), words=NEAR_WORDS, percent=NEAR_PERCENT)
     stay = found.filter("doc_id = component_id").select("doc_id._h", "doc_id._g").distinct()
-    return unpacked(named.join(stay, ["_h", "_g"]).dropDuplicates(["_h", "_g"]), docs.columns)
+    return unpacked(named.join(stay, ["_h", "_g"]).dropDuplicates(["_h", "_g"]), docs.columns, "doc_id", "text")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
-    return unpacked(cut.filter(F.col("_text").rlike("[^\\x20\\x09-\\x0D]")), docs.columns, **new)
+    return unpacked(cut.filter(F.col("_text").rlike("[^\\x20\\x09-\\x0D]")), docs.columns, "doc_id", **new)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
