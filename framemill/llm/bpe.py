@@ -18,8 +18,10 @@ repeated rows and null ids are kept as rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -37,19 +39,29 @@ from . import kernel
 CACHE = 400_000
 LONGEST = 200
 STEP = 1 << 20
+#: Symbols of the longest pieces that are merged together with others.
+MOST_TOGETHER = 32
+_SPACE = re.compile(r"\s")
 _NONE = 1 << 62
 
 
 class Merges:
-    """Merge rules by pair of symbol ids: the rank, and by rank what a merge gives."""
-
-    __slots__ = ("made", "ranks")
+    """Merge rules by pair of symbol ids: the rank times 2**32, and by rank what a merge gives; the same as sorted arrays."""
 
     def __init__(self, pairs: list[tuple[int, int, int]]):
         self.ranks: dict[int, int] = {}
         self.made = [made for _, _, made in pairs]
         for rank, (a, b, _) in enumerate(pairs):
-            self.ranks.setdefault(a << 32 | b, rank)
+            self.ranks.setdefault(a << 32 | b, rank << 32)
+        self.pairs = np.array(sorted(self.ranks), np.int64)
+        self.by_pair = np.array([self.ranks[k] for k in self.pairs.tolist()], np.int64)
+        self.gives = np.array(self.made, np.int64)
+
+    def look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs, _NONE where there is no rule or a symbol is missing (-1)."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.by_pair[at], _NONE)
 
 
 def merge(symbols: list[int], rules: Merges) -> list[int]:
@@ -62,37 +74,33 @@ def merge(symbols: list[int], rules: Merges) -> list[int]:
     if n < 2:
         return symbols
     rank, made, s = rules.ranks.get, rules.made, list(symbols)
+    leaves = [rank(a << 32 | b, _NONE) + i for i, (a, b) in enumerate(zip(s, s[1:], strict=False))]
+    if n == 2:
+        return s if leaves[0] >= _NONE else [made[leaves[0] >> 32]]
     size = 1 << (n - 2).bit_length()
-    tree = [_NONE] * (2 * size)
-    for i in range(n - 1):
-        r = rank(s[i] << 32 | s[i + 1])
-        if r is not None:
-            tree[size + i] = r << 32 | i
+    tree = [_NONE] * size + leaves + [_NONE] * (size - n + 1)
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (low := tree[1]) != _NONE:
+    while (low := tree[1]) < _NONE:
         i = low & 0xFFFFFFFF
         gone = after[i]
         new = s[i] = made[low >> 32]
         s[gone] = -1
         right = after[i] = after[gone]
-        r = None
+        left = before[i]
+        changed = []
         if right < n:
             before[right] = i
-            r = rank(new << 32 | s[right])
-        changed = [(i, _NONE if r is None else r << 32 | i)]
-        if gone < n - 1:
             changed.append((gone, _NONE))
-        left = before[i]
+            changed.append((i, rank(new << 32 | s[right], _NONE) + i))
+        else:
+            changed.append((i, _NONE))
         if left >= 0:
-            r = rank(s[left] << 32 | new)
-            changed.append((left, _NONE if r is None else r << 32 | left))
+            changed.append((left, rank(s[left] << 32 | new, _NONE) + left))
         for place, key in changed:
             j = size + place
-            if tree[j] == key:
-                continue
             tree[j] = key
             while j > 1:
                 other = tree[j ^ 1]
@@ -105,6 +113,44 @@ def merge(symbols: list[int], rules: Merges) -> list[int]:
     return [x for x in s if x >= 0]
 
 
+def merge_rows(rows: np.ndarray, rules: Merges) -> np.ndarray:
+    """The same for many pieces at once: a row of symbols each, filled with -1; what is merged away becomes -1.
+
+    Every row has a segment tree of its own, in a row of one array, and all rows
+    that still have a merge make theirs together.
+    """
+    m, size = rows.shape  # size is a power of two
+    s, length = rows.copy(), (rows >= 0).sum(1)
+    tree = np.full((m, 2 * size), _NONE, np.int64)
+    tree[:, size : 2 * size - 1] = rules.look(s[:, :-1], s[:, 1:]) + np.arange(size - 1)
+    for i in range(size - 1, 0, -1):
+        np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1], out=tree[:, i])
+    after, before = (np.tile(np.arange(size) + d, (m, 1)) for d in (1, -1))
+    live = np.flatnonzero(tree[:, 1] < _NONE)
+    while len(live):
+        low = tree[live, 1]
+        i = low & 0xFFFFFFFF
+        gone = after[live, i]
+        new = rules.gives[low >> 32]
+        s[live, i], s[live, gone] = new, -1
+        right, left = after[live, gone], before[live, i]
+        after[live, i] = right
+        some = right < length[live]
+        before[live[some], right[some]] = i[some]
+        tree[live, size + gone] = _NONE
+        tree[live, size + i] = rules.look(new, np.where(some, s[live, np.minimum(right, size - 1)], -1)) + i
+        # Without a left neighbour its own place is carried up twice.
+        has = left >= 0
+        tree[live[has], size + left[has]] = rules.look(s[live[has], left[has]], new[has]) + left[has]
+        for place in (gone, i, np.where(has, left, i)):
+            j = (size + place) >> 1
+            while j[0]:
+                tree[live, j] = np.minimum(tree[live, 2 * j], tree[live, 2 * j + 1])
+                j >>= 1
+        live = live[tree[live, 1] < _NONE]
+    return s
+
+
 class Codec:
     """Encoder and decoder for a tokenizer file of the word-end kind.
 
@@ -129,9 +175,11 @@ class Codec:
         self.rules = Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         end = model["end_of_word_suffix"] or ""
         self.inner, self.last = vocab, {t.removesuffix(end): i for t, i in vocab.items() if t.endswith(end)} if end else vocab
+        # The characters that stand for bytes have low code points.
+        self.inner_of, self.last_of = (np.array([by.get(chr(k), -1) for k in range(512)], np.int64) for by in (self.inner, self.last))
         # Two special tokens that begin at one place: the longer one counts.
         self.specials = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True))) if self.special else None
-        self.cache, self.known = cache, {"": b""}
+        self.cache, self.known = cache, {"": b""}  # empty where spaces meet
 
     def piece(self, shown: str) -> list[int]:
         """ids of one piece, given in the printable characters that stand for its bytes."""
@@ -150,23 +198,60 @@ class Codec:
                 at = m.end()
         return np.asarray(ids, "<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """ids of a text as little-endian 32-bit integers."""
-        parts, known = (text or "").split(" "), self.known
-        if len(known) > self.cache:
-            known.clear()
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            out = []
-            for p in parts:
-                got = known.get(p)
-                if got is None:
-                    got = self.stretch(p)
-                    if len(p) <= LONGEST:
-                        known[p] = got
-                out.append(got)
-            return b"".join(out)
+    def pieces(self, shown: list[str]) -> list[bytes]:
+        """ids of different pieces as little-endian 32-bit integers, merged together by size."""
+        length = np.array(list(map(len, shown)), np.int64)
+        flat = np.frombuffer("".join(shown).encode("utf-32-le"), "<u4")
+        end = np.cumsum(length)
+        symbols = self.inner_of[flat]
+        symbols[end - 1] = self.last_of[flat[end - 1]]
+        out: list[bytes] = [b""] * len(shown)
+        size = 2
+        while size <= MOST_TOGETHER:
+            mine = np.flatnonzero((length <= size) & (length > (size // 2 if size > 2 else 0)))
+            for at in range(0, len(mine), 16384):
+                some = mine[at : at + 16384]
+                place = np.arange(size)[None, :]
+                rows = np.where(place < length[some, None], symbols[np.minimum((end - length)[some, None] + place, len(symbols) - 1)], -1)
+                merged = merge_rows(rows, self.rules)
+                ids = merged[merged >= 0].astype("<u4").tobytes()
+                ends = (np.cumsum((merged >= 0).sum(1)) * 4).tolist()
+                for k, a, b in zip(some.tolist(), [0, *ends[:-1]], ends, strict=True):
+                    out[k] = ids[a:b]
+            size *= 2
+        for k in np.flatnonzero(length > MOST_TOGETHER).tolist():
+            out[k] = array("I", self.piece(shown[k])).tobytes()
+        return out
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """ids of stretches.  Those without white space and special tokens are cut in one call, laid between spaces."""
+        plain = [p for p in new if not (_SPACE.search(p) or (self.specials and self.specials.search(p)))]
+        out = {}
+        if plain:
+            text = self.library.normalizer.normalize_str(" ".join(plain))
+            ends = list(itertools.accumulate(len(p) + 1 for p in text.split(" ")))
+            if len(ends) == len(plain):
+                cut = self.library.pre_tokenizer.pre_tokenize_str(text)
+                shown = list(dict.fromkeys(p for p, _ in cut))
+                ids = dict(zip(shown, self.pieces(shown), strict=True)) if shown else {}
+                at, n = 0, len(cut)
+                for p, end in zip(plain, ends, strict=True):
+                    begin = at
+                    while at < n and cut[at][1][0] < end:
+                        at += 1
+                    out[p] = b"".join([ids[c[0]] for c in cut[begin:at]])
+        return out | {p: self.stretch(p) for p in new if p not in out}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """ids of each text as little-endian 32-bit integers."""
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]  # both are white space, which no piece holds
+        if len(self.known) > self.cache:
+            self.known = {"": b""}
+        learnt = self.learn([p for p in set().union(*split) if p not in self.known])
+        self.known.update((p, i) for p, i in learnt.items() if len(p) <= LONGEST)
+        far = {p: i for p, i in learnt.items() if len(p) > LONGEST}
+        get = self.known.get
+        return [b"".join([far[p] if (i := get(p)) is None else i for p in parts]) for parts in split]
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The tokens of each list of ids, joined by spaces."""
@@ -198,7 +283,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", digests: bool
         for batch in batches:
             for lo, hi, _, _ in kernel.chunks(batch.column(0), STEP):
                 part = batch.slice(lo, hi - lo)
-                coded = [coder.encode(t) for t in part.column(0).to_pylist()]
+                coded = coder.encode(part.column(0).to_pylist())
                 ends = np.cumsum([0] + [len(c) // 4 for c in coded])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
                 decoded = coder.decode(ids)

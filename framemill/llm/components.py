@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import FLOOR, SHARE
-from .shared import forget, materialise
+from .shared import forget, materialise, settle
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def _lowest(links: DataFrame, count: int) -> DataFrame:
     low = links.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("_n"))
     hub = F.col("_n") > max(FLOOR, count // SHARE)
     hubs = F.broadcast(low.filter(hub).drop("_n"))  # fewer than SHARE rows
-    return links.join(hubs.select("x"), "x", "left_anti").join(low.drop("_n"), "x").unionByName(links.join(hubs, "x"))
+    return links.join(hubs.select("x"), "x", "left_anti").join(low.drop("_n").hint("merge"), "x").unionByName(links.join(hubs, "x"))
 
 
 def _large(links: DataFrame, count: int) -> DataFrame:
@@ -51,6 +51,7 @@ def components(links: DataFrame) -> DataFrame:
         # The links that are left are stars once nothing changes; sums of hashes tell.
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first()
         forget(spark, path)
+        settle(spark)
         now, path = after, after_path
         if tuple(mark) == seen:
             return now.select(F.col("x").alias("node"), F.col("y").alias("label")).unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("label")).distinct())

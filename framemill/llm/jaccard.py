@@ -221,19 +221,22 @@ def _sieved(rows: DataFrame, sieve: tuple[int, np.ndarray], hot: np.ndarray) ->
     return rows.select("sig", "key").mapInArrow(work, "sig long, key long, salt int")
 
 
-def lists(signed: DataFrame) -> DataFrame:
+def lists(signed: DataFrame, path: str) -> DataFrame:
     """(sig, part, parts, own, key, n, bits): the members of lists of two nodes or more.
 
     A list longer than BLOCK is cut into parts; a member is its own part's, and the two
-    with the smallest and the largest key are guests of all others.
+    with the smallest and the largest key are guests of all others.  The table of
+    signatures at path goes as soon as it has been read.
     """
     spark = signed.sparkSession
+    nodes, p3 = materialise(signed.filter("sig IS NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-nodes")
     sigs = signed.filter("sig IS NOT NULL").select("sig", "key")
     twice, p1 = materialise(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "jaccard-twice")
     settle(spark)
     hot = np.array([k for (k,) in hot_keys(twice, "sig")], np.int64)
     some, p2 = materialise(_sieved(sigs, bloom(twice, "sig", twice.count()), hot), "jaccard-some")
-    forget(spark, p1)
+    forget(spark, p1, path)
+    settle(spark)
     half = lambda s: F.call_function("shiftrightunsigned", F.xxhash64("key", F.lit(s)), F.lit(33))
     facts = {"c": F.count(F.lit(1)), "lo": F.min("key"), "hi": F.max("key"), "a": F.sum(half(1)), "b": F.sum(half(2))}
     per_salt = some.groupBy("sig", "salt").agg(*[v.alias(k) for k, v in facts.items()])
@@ -242,13 +245,12 @@ def lists(signed: DataFrame) -> DataFrame:
     each = per_salt.filter("salt = 0").drop("salt").withColumn("_hot", F.lit(False)).unionByName(joined.withColumn("_hot", F.lit(True))).filter("lo < hi")
     one = each.groupBy("c", "lo", "hi", "a", "b").agg(F.min("sig").alias("sig"), F.min_by("_hot", "sig").alias("_hot"))
     one = one.select("sig", "lo", "hi", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"), F.explode(F.when(F.col("_hot"), F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    members = some.join(one, ["sig", "salt"]).select("sig", "key", "parts", F.col("key").isin(F.col("lo"), F.col("hi")).alias("_guest")).distinct()
+    members = some.join(one.hint("merge"), ["sig", "salt"]).select("sig", "key", "parts", F.col("key").isin(F.col("lo"), F.col("hi")).alias("_guest")).distinct()
     home = F.pmod(F.xxhash64("key", F.lit("part")), F.col("parts")).cast("int")
     members = members.withColumn("_home", home).withColumn("part", F.explode(F.when(F.col("_guest"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("_home"))))
     members = members.select("sig", "part", "parts", (F.col("part") == F.col("_home")).alias("own"), "key")
-    nodes = signed.filter("sig IS NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    out, _ = materialise(members.join(nodes, "key").select("sig", "part", "parts", "own", "key", "n", "bits"), "jaccard-lists")
-    forget(spark, p2)
+    out, _ = materialise(members.join(nodes.hint("merge"), "key").select("sig", "part", "parts", "own", "key", "n", "bits"), "jaccard-lists")
+    forget(spark, p2, p3)
     settle(spark)
     return out
 
@@ -354,13 +356,13 @@ def _open(members: DataFrame, found: DataFrame, failed: DataFrame, labels: DataF
 
     Members outside the largest label of their list are guests of every part.
     """
-    named = members.join(labels, members["key"] == labels["node"], "left").withColumn("label", F.coalesce("label", "key")).drop("node")
-    lists_of = found.join(failed, ["x", "y"]).select("sig").unionByName(members.filter("parts > 1").select("sig")).distinct()
-    named = named.filter("own").join(lists_of, "sig", "left_semi")
+    named = members.join(labels.hint("merge"), members["key"] == labels["node"], "left").withColumn("label", F.coalesce("label", "key")).drop("node")
+    lists_of = found.join(failed.hint("merge"), ["x", "y"]).select("sig").unionByName(members.filter("parts > 1").select("sig")).distinct()
+    named = named.filter("own").join(lists_of.hint("merge"), "sig", "left_semi")
     size = named.groupBy("sig", "label", "parts").agg(F.count(F.lit(1)).alias("_n"))
     most = size.groupBy("sig").agg(F.max_by("label", F.struct("_n", "label")).alias("_most"), F.count(F.lit(1)).alias("_labels"), F.first("parts").alias("_parts")).filter("_labels > 1")
     most = most.select("sig", "_most", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
-    named = named.join(most, ["sig", "part"]).withColumn("_home", F.col("part"))
+    named = named.join(most.hint("merge"), ["sig", "part"]).withColumn("_home", F.col("part"))
     outside = F.col("label") != F.col("_most")
     named = named.withColumn("part", F.explode(F.when(outside, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("_home"))))
     return named.select("sig", "part", (F.col("part") == F.col("_home")).alias("own"), "label", "key", "n", "bits")
@@ -381,7 +383,7 @@ def verify(docs: DataFrame, pairs: DataFrame, speakers: DataFrame, words: int, p
     spark = docs.sparkSession
     ends, path = materialise(pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct(), "jaccard-ends")
     n = ends.count()
-    sieve = spark.sparkContext.broadcast((bloom(ends, "key", n), bloom(speakers.join(ends, "key", "left_semi"), "speaker", n)))
+    sieve = spark.sparkContext.broadcast((bloom(ends, "key", n), bloom(speakers.join(ends.hint("merge"), "key", "left_semi"), "speaker", n)))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -408,9 +410,9 @@ def verify(docs: DataFrame, pairs: DataFrame, speakers: DataFrame, words: int, p
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(ok)], names=["x", "y", "ok"])
 
     texts = docs.select("text", F.xxhash64("doc_id").alias("_id")).mapInArrow(fetch, "key long, text string")
-    sets, sets_path = materialise(texts.join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "jaccard-sets")
-    with_x = pairs.join(sets.select(F.col("key").alias("x"), F.col("text").alias("a")), "x")
-    both = with_x.join(sets.select(F.col("key").alias("y"), F.col("text").alias("b")), "y")
+    sets, sets_path = materialise(texts.join(ends.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "jaccard-sets")
+    with_x = pairs.join(sets.select(F.col("key").alias("x"), F.col("text").alias("a")).hint("merge"), "x")
+    both = with_x.join(sets.select(F.col("key").alias("y"), F.col("text").alias("b")).hint("merge"), "y")
     out, _ = materialise(both.select("x", "y", "a", "b").mapInArrow(compare, "x long, y long, ok boolean"), "jaccard-verified")
     forget(spark, path, sets_path)
     return out
@@ -428,15 +430,14 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     speakers, p5 = materialise(speakers, "jaccard-speakers")
     signed, p1 = materialise(_signed(docs, _classes(rows, total), bloom(speakers, "speaker", speakers.count()), words, percent), "jaccard-signed")
     settle(spark)
-    members = lists(signed)
-    forget(spark, p1)
+    members = lists(signed, p1)
     found, p2 = materialise(_links(members, percent, labelled=False), "jaccard-links")
     settle(spark)
     first = verify(docs, found.select("x", "y").distinct(), speakers, words, percent)
     linked, failed = first.filter("ok").select("x", "y"), first.filter("NOT ok").select("x", "y")
     if not (failed.isEmpty() and members.filter("parts > 1").isEmpty()):
         labels, p3 = materialise(components(linked), "jaccard-labels")
-        more = _links(_open(members, found, failed, labels), percent, labelled=True).select("x", "y").distinct().join(first, ["x", "y"], "left_anti")
+        more = _links(_open(members, found, failed, labels), percent, labelled=True).select("x", "y").distinct().join(first.hint("merge"), ["x", "y"], "left_anti")
         more, p4 = materialise(more, "jaccard-more")
         if not more.isEmpty():
             linked, _ = materialise(linked.unionByName(verify(docs, more, speakers, words, percent).filter("ok").select("x", "y")), "jaccard-linked")
@@ -447,8 +448,8 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     # Copies of a text share a node and groups share a label: both are reduced and reached per salt.
     each = plain.filter("n > 0").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).groupBy("key", "_salt").agg(F.min("doc_id").alias("_low"))
     nodes = each.groupBy("key").agg(F.min("_low").alias("_low"))
-    nodes = nodes.join(labels, nodes["key"] == labels["node"], "left").select("key", F.coalesce("label", "key").alias("label"), "_low")
+    nodes = nodes.join(labels.hint("merge"), nodes["key"] == labels["node"], "left").select("key", F.coalesce("label", "key").alias("label"), "_low")
     named = least_by(nodes, "label", "_low", "component_id", salt="key").select("key", "component_id")
-    parted = each.select("key", "_salt").join(named, "key")
-    rows = plain.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(parted, ["key", "_salt"], "left")
+    parted = each.select("key", "_salt").join(named.hint("merge"), "key")
+    rows = plain.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(parted.hint("merge"), ["key", "_salt"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -125,7 +125,7 @@ def least_by(df: DataFrame, key: str, value: str, name: str, salt: str, pick: Ca
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
     part = salted.groupBy(key, "_salt").agg(pick(value).alias("_m"))
     low = part.groupBy(key).agg(pick("_m").alias(name))
-    return salted.join(part.select(key, "_salt").join(low, key), [key, "_salt"]).drop("_salt")
+    return salted.join(part.select(key, "_salt").join(low.hint("merge"), key).hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def packed(docs: DataFrame, *names: str) -> DataFrame:

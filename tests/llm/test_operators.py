@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +278,31 @@ def test_merge_takes_the_leftmost_lowest_rank():
             r, k = min(found)
             plain[k : k + 2] = [pairs[r][2]]
         assert bpe.merge(row, rules) == plain
+        held = np.full((1, 64), -1, np.int64)
+        held[0, : len(row)] = row
+        assert [x for x in bpe.merge_rows(np.repeat(held, 3, axis=0), rules)[1].tolist() if x >= 0] == plain
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_code_point_as_the_library_has_it(name):
+    """Assigned characters, and some that are not, in context."""
+    import unicodedata
+    from pathlib import Path
+
+    spec = Path(tokenizer(name)).read_bytes()
+    library = token_files.library(spec)
+    some = (c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) not in ("Cn", "Co") or ord(c) % 97 == 0)
+    texts = [f"a{c}b {c} x{c} {c}{c}Y'{c}s {c}1" for c in some] + ["q" * 3000, "ab" * 40 + "\u0301" * 50, "<|endoftext|> x<|startoftext|>y"]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    if name.startswith("word"):
+        coder = bpe.Codec(spec)
+        got = [y for k in range(0, len(texts), 1000) for y in coder.encode(texts[k : k + 1000])]
+        assert got == want
+    ids = [np.frombuffer(w, "<u4") for w in want[:500]]
+    if name.startswith("word"):
+        ends = np.cumsum([0, *map(len, ids)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype("i4")))
+        assert coder.decode(lists).to_pylist() == [library.decode(i.tolist(), skip_special_tokens=False) for i in ids]
 
 
 def test_token_files(docs, spark):
