@@ -22,12 +22,17 @@ def _balance(source: str) -> str:
 _WB = f"WITH {_C1}, {_C1S}, wb AS ({_balance('c1s')})"
 
 
+def _packed(table: str, key: str, text: str) -> str:
+    """Whole texts as hexadecimal digits, filled with zeros to words of 8 bytes."""
+    return f"""b AS (SELECT {key} AS row_id, lower(hex(encode({text}))) AS h FROM {table}),
+t AS (SELECT row_id, h || repeat('0', ((16 - length(h) % 16) % 16)::INT) AS h FROM b)"""
+
+
 def _unpack(table: str, key: str, text: str) -> str:
     byte = lambda k: f"strpos('0123456789abcdef', substr(h, 2 * ({k}) + 1, 1)) * 16 + strpos('0123456789abcdef', substr(h, 2 * ({k}) + 2, 1)) - 17"
-    first = "(i // 6) * 8 + ((i % 6) * 10) // 8"
-    return f"""WITH t AS (SELECT {key} AS row_id, lower(hex(encode({text}))) AS h FROM {table}),
-r AS (SELECT row_id, substr(h, 1, 96) AS h, unnest(range(36)) AS i FROM t WHERE length(h) >= 96)
-SELECT row_id, CAST(i AS INT) AS i, CAST(((({byte(first + ' + 1')}) * 256 + {byte(first)}) >> ((i % 6) * 10 % 8)) & 1023 AS INT) AS p FROM r"""
+    return f"""WITH {_packed(table, key, text)}, w AS (SELECT row_id, regexp_extract_all(h, '.{{16}}') AS words FROM t),
+r AS (SELECT row_id, unnest(words) AS h, unnest(range(len(words))) AS word FROM w), s AS (SELECT row_id, h, word, unnest(range(6)) AS j FROM r)
+SELECT row_id, CAST(word * 6 + j AS INT) AS i, CAST(((({byte('j * 10 // 8 + 1')}) * 256 + {byte('j * 10 // 8')}) >> (j * 10 % 8)) & 1023 AS INT) AS p FROM s"""
 
 
 def _u32(at: int) -> str:
@@ -200,6 +205,15 @@ _QUANT = f"""{_DCT}, qt AS (SELECT list_transform({list(fixed.LUMA_TABLE)}, lamb
 qz AS (SELECT block_y, block_x, {_SPOT}[u * 8 + w + 1] AS k, CAST(sign(c) * ((abs(c) + d[u * 8 + w + 1] // 2) // d[u * 8 + w + 1]) AS INT) AS q FROM dct, qt)"""
 _SIZE = "CASE WHEN {0} = 0 THEN 0 ELSE length(ltrim(bin(abs({0})), '0')) END"
 
+# First coefficients only: both passes weigh all eight samples by 8192.  Steps at quality 75: 8 * 8 of luma, 8 * 9 of chroma.
+_MCU_DC = f"""mean4 AS (SELECT y // 2 AS cy, x // 2 AS cx, (sum(r)::INT + 2) >> 2 AS r, (sum(g)::INT + 2) >> 2 AS g, (sum(b)::INT + 2) >> 2 AS b FROM rgb GROUP BY ALL),
+chroma AS (SELECT cy, cx, greatest(0, least(255, (-11059 * r - 21709 * g + 32768 * b + 8421376) >> 16)) - 128 AS cb, greatest(0, least(255, (32768 * r - 27439 * g - 5329 * b + 8421376) >> 16)) - 128 AS cr FROM mean4),
+samples AS (SELECT y // 16 AS my, x // 16 AS mx, (y % 16) // 8 * 2 + (x % 16) // 8 AS block, y % 8 AS u, {_YCC}::BIGINT AS s FROM rgb
+    UNION ALL SELECT cy // 8, cx // 8, 4, cy % 8, cb FROM chroma UNION ALL SELECT cy // 8, cx // 8, 5, cy % 8, cr FROM chroma),
+pass1 AS (SELECT my, mx, block, u, (sum(s)::BIGINT * 8192 + 1024) >> 11 AS t FROM samples GROUP BY ALL),
+pass2 AS (SELECT my, mx, block, (sum(t)::BIGINT * 8192 + 16384) >> 15 AS c, CASE WHEN block < 4 THEN 64 ELSE 72 END AS d FROM pass1 GROUP BY ALL),
+dcq AS (SELECT my, mx, block, CAST(sign(c) * ((abs(c) + d // 2) // d) AS INT) AS q FROM pass2)"""
+
 _MESSAGES = "SELECT event_id AS seq, user_id AS peer, ts, CASE WHEN event_type = 'view' THEN '4a504731' ELSE '444e4731' END AS magic, lower(hex(encode(props))) AS body FROM events"
 _LE32 = "printf('%02x%02x%02x%02x', (n % 256)::INT, ((n // 256) % 256)::INT, ((n // 65536) % 256)::INT, ((n // 16777216) % 256)::INT)"
 _FRAMED = f"WITH m AS ({_MESSAGES}), n AS (SELECT *, CAST(length(body) // 2 AS BIGINT) AS n FROM m), f AS (SELECT *, magic || {_LE32} || body AS wire FROM n)"
@@ -212,12 +226,12 @@ ORACLES: dict[str, str] = {
     "bayer_structured": f"WITH {_C1}, {_C1S} SELECT y, x, v FROM c1s",
     "unpack10_documents": _unpack("documents", "doc_id", "text"),
     "unpack10_pages": _unpack("pages", "page_id", "html"),
-    "read_u32": f"WITH t AS (SELECT doc_id AS row_id, lower(hex(encode(text))) AS h FROM documents) SELECT row_id, {', '.join(f'{_u32(a)} AS u{a}' for a in (0, 5, 44))} FROM t WHERE length(h) >= 96",
+    "read_u32": f"WITH {_packed('documents', 'doc_id', 'text')} SELECT row_id, {', '.join(f'CASE WHEN length(h) >= {2 * a + 8} THEN {_u32(a)} END AS u{a}' for a in (0, 5, 44))} FROM t",
     "header_fields": f"{_HEADER} SELECT k AS frame_id, k % 5248 + 6 AS width, k % 3936 + 1 AS height, k * 37 % 500000 AS exposure_us, k * 211 % 40000 AS iso, 65536::BIGINT AS g, r::BIGINT AS r, b FROM f WHERE ok",
     "wb_gains": f"{_HEADER} SELECT k AS frame_id, r, g, b FROM g",
     "wb_ratio": f"{_HEADER} SELECT k AS frame_id, round(r / 65536::DOUBLE, 9) AS gain_r, round(b / 65536::DOUBLE, 9) AS gain_b, g AS neutral_num, r AS neutral_r_den, b AS neutral_b_den FROM g",
     "exif_fields": f"{_HEADER} SELECT k AS frame_id, CASE WHEN ok THEN k * 37 % 500000 ELSE 0 END AS exposure_us, CASE WHEN ok THEN least(k * 211 % 40000, 25600) ELSE 0 END AS iso, 2 AS fnum_n, 1 AS fnum_d, 49 AS focal_n, 10 AS focal_d FROM f",
-    "lsc_parse": f"WITH {_LSC}, ok AS (SELECT count(*) AS n FROM customer WHERE c_custkey <= 60 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0) SELECT i AS illum, CAST(ch AS INT) AS ch, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, n AS frames, s AS shading FROM cal, ok",
+    "lsc_parse": f"WITH {_LSC}, ok AS (SELECT count(*) AS n FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0) SELECT i AS illum, CAST(ch AS INT) AS ch, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, n AS frames, s AS shading FROM cal, ok",
     "lsc_warmth": f"{_HEADER} SELECT k AS frame_id, round(CASE WHEN b <= 0 THEN 0 WHEN r / b::DOUBLE >= 1.1::DOUBLE THEN 0 WHEN r / b::DOUBLE <= 0.6::DOUBLE THEN 1 ELSE (1.1::DOUBLE - r / b::DOUBLE) / 0.5 END, 9) AS warmth FROM g",
     "lsc_blend": f"WITH {_BLEND} SELECT CAST(ch AS INT) AS ch, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, round(s, 9) AS shading FROM bl",
     "lsc_cell_max": f"WITH {_C1}, {_CELL} SELECT gy, gx, cell_max FROM cm",
@@ -246,7 +260,8 @@ ORACLES: dict[str, str] = {
     "huff_table": f"WITH b AS (SELECT unnest(range(1, 17)) AS l, unnest({list(fixed.DC_LUMA[0])}) AS n), c AS (SELECT l, n, (SELECT coalesce(sum(x.n * (1 << (b.l - x.l))), 0) FROM b x WHERE x.l < b.l)::INT AS first, (SELECT coalesce(sum(x.n), 0) FROM b x WHERE x.l < b.l)::INT AS s FROM b), e AS (SELECT *, unnest(range(n)) AS k FROM c WHERE n > 0) SELECT CAST(s + k AS INT) AS symbol, CAST(first + k AS INT) AS code, CAST(l AS INT) AS len FROM e",
     "fdct8x8": f"{_DCT} SELECT CAST(block_y AS INT) AS block_y, CAST(block_x AS INT) AS block_x, u, w, c FROM dct",
     "quantize_zigzag": f"{_QUANT} SELECT CAST(block_y AS INT) AS block_y, CAST(block_x AS INT) AS block_x, k, q FROM qz",
-    "dc_delta": f"{_QUANT}, dd AS (SELECT block_y, block_x, q - coalesce(lag(q) OVER (ORDER BY block_y, block_x), 0) AS diff FROM qz WHERE k = 0) SELECT CAST(block_y AS INT) AS block_y, CAST(block_x AS INT) AS block_x, CAST(diff AS INT) AS diff, CAST({_SIZE.format('diff')} AS INT) AS size FROM dd",
+    "dc_delta": f"""{_RGB8}, {_MCU_DC}, dd AS (SELECT my, mx, block, q - coalesce(lag(q) OVER (PARTITION BY greatest(block - 3, 0) ORDER BY my, mx, block), 0) AS diff FROM dcq)
+SELECT CAST(my AS INT) AS my, CAST(mx AS INT) AS mx, CAST(block AS INT) AS block, CAST(diff AS INT) AS diff, CAST({_SIZE.format('diff')} AS INT) AS size FROM dd""",
     "ac_rle": f"{_QUANT}, nz AS (SELECT block_y, block_x, k, q, k - coalesce(lag(k) OVER (PARTITION BY block_y, block_x ORDER BY k), 0) - 1 AS run FROM qz WHERE k > 0 AND q <> 0), eb AS (SELECT block_y, block_x FROM qz GROUP BY block_y, block_x HAVING coalesce(max(CASE WHEN k > 0 AND q <> 0 THEN k END), 0) < 63) SELECT CAST(block_y AS INT) AS block_y, CAST(block_x AS INT) AS block_x, CAST(k AS INT) AS k, CAST(run % 16 AS INT) AS run, CAST({_SIZE.format('q')} AS INT) AS size, CAST(run // 16 AS INT) AS zrls FROM nz UNION ALL SELECT CAST(block_y AS INT), CAST(block_x AS INT), 64, 0, 0, 0 FROM eb",
     "frame_messages": f"{_FRAMED} SELECT seq, n AS body_len, wire FROM f",
     "message_chunks": f"{_FRAMED}, c AS (SELECT seq, wire, unnest(range((length(wire) // 2 - 1) // 16 + 1)) AS chunk FROM f) SELECT seq, CAST(chunk AS INT) AS chunk, substr(wire, chunk * 32 + 1, 32) AS data FROM c",
