@@ -1,4 +1,4 @@
-"""Queries that the SQL of oracles.py holds to a part of a table, against brute force over the whole of it."""
+"""Queries over whole tables, against brute force that shares nothing with their SQL."""
 
 import pytest
 from pyspark.sql import functions as F
