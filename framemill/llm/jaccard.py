@@ -64,6 +64,8 @@ LEAST = 10
 BLOCK = 512
 _SPACES = re.compile("[\x20\x09-\x0d]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
+#: Signatures a worker holds before it hands them on.
+HELD = 1 << 19
 #: Keys a worker remembers, so that copies need not send what is known.
 REMEMBERED = 1_000_000
 
@@ -159,9 +161,10 @@ def signatures(found: np.ndarray, levels: np.ndarray, percent: int = PERCENT) ->
         often = np.sort(found[pick[~rare]])
         if len(often) > 1:
             group = often & U(CLASSES - 1)
-            a, b = np.triu_indices(len(often), 1)
-            same = group[a] == group[b]
-            out.append(finish(often[a[same]] * U(0x9E3779B97F4A7C15) + finish(often[b[same]])))
+            for c in range(CLASSES):
+                one = often[group == U(c)]
+                a, b = np.triu_indices(len(one), 1)
+                out.append(finish(one[a] * U(0x9E3779B97F4A7C15) + finish(one[b])))
     return np.concatenate(out) if out else found[:0]
 
 
@@ -180,10 +183,18 @@ def _signed(docs: DataFrame, levels: np.ndarray, speakers: tuple[int, np.ndarray
     """
     shared, spoken = (docs.sparkSession.sparkContext.broadcast(x) for x in (levels, speakers))
 
+    def rows(keys: list[int], sizes: list[int], bits: list[bytes], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not keys:
+            return
+        flat, counts = np.concatenate(sigs), [len(s) for s in sigs]
+        none, m = pa.nulls(len(flat)), len(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts)), none.cast(pa.int64()), none.cast(pa.binary())], names=["sig", "key", "n", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["sig", "key", "n", "bits"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
-            keys, sizes, bits, sigs = [], [], [], []
+            made, held = ([], [], [], []), 0
             some = batch.filter(pa.array(may_hold(spoken.value, batch.column("_id").to_numpy().view(U))))
             for _, found in shingle_sets(some.column("text"), words):
                 if not len(found) or (key := key_of(found)) in known:
@@ -191,16 +202,14 @@ def _signed(docs: DataFrame, levels: np.ndarray, speakers: tuple[int, np.ndarray
                 if len(known) >= REMEMBERED:
                     known.clear()
                 known.add(key)
-                keys.append(key)
-                sizes.append(len(found))
-                bits.append(bitmap(found).tobytes())
-                sigs.append(signatures(found, shared.value, percent))
-            if not keys:
-                continue
-            flat, counts = np.concatenate(sigs), [len(s) for s in sigs]
-            none, m = pa.nulls(len(flat)), len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts)), none.cast(pa.int64()), none.cast(pa.binary())], names=["sig", "key", "n", "bits"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["sig", "key", "n", "bits"])
+                sigs = signatures(found, shared.value, percent)
+                for column, value in zip(made, (key, len(found), bitmap(found).tobytes(), sigs), strict=True):
+                    column.append(value)
+                held += len(sigs)
+                if held > HELD:
+                    yield from rows(*made)
+                    made, held = ([], [], [], []), 0
+            yield from rows(*made)
 
     return docs.select("text", F.xxhash64("doc_id").alias("_id")).mapInArrow(work, "sig long, key long, n long, bits binary")
 
@@ -368,11 +377,32 @@ def _open(members: DataFrame, found: DataFrame, failed: DataFrame, labels: DataF
     return named.select("sig", "part", (F.col("part") == F.col("_home")).alias("own"), "label", "key", "n", "bits")
 
 
-@lru_cache(maxsize=64)
-def exact_set(text: str, words: int) -> frozenset[tuple[str, ...]]:
-    """The shingles of a text that has words, by the words themselves."""
-    w = [x for x in _SPACES.split(text.translate(_LOWER)) if x]
-    return frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1)))
+@lru_cache(maxsize=4)
+def words_of(text: str) -> list[str]:
+    """The words of a text, A-Z lower-cased; the last few are remembered, as neighbouring pairs share a text."""
+    return [x for x in _SPACES.split(text.translate(_LOWER)) if x]
+
+
+def reaches(one: str, other: str, words: int, percent: int) -> bool:
+    """Whether two texts with words reach the threshold, by the words themselves.
+
+    Words are numbered for the pair and a shingle is the number that its words spell,
+    renumbered wherever that would outgrow 64 bits, so that equal means equal words.
+    """
+    a, b = words_of(one), words_of(other)
+    if min(len(a), len(b)) < words:
+        return a == b
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for part in (a, b) for w in part), np.int64, len(a) + len(b))
+    names, limit = ids, len(number)
+    for k in range(1, words):
+        if limit * len(number) >= 1 << 62:
+            kinds, names = np.unique(names, return_inverse=True)
+            limit = len(kinds)
+        names, limit = names[:-1] * len(number) + ids[k:], limit * len(number)
+    x, y = np.unique(names[: len(a) - words + 1]), np.unique(names[len(a) :])
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def verify(docs: DataFrame, pairs: DataFrame, speakers: DataFrame, words: int, percent: int) -> DataFrame:
@@ -402,11 +432,8 @@ def verify(docs: DataFrame, pairs: DataFrame, speakers: DataFrame, words: int, p
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for one, other in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                a, b = exact_set(one, words), exact_set(other, words)
-                both = len(a & b)
-                ok.append(100 * both >= percent * (len(a) + len(b) - both))
+            pairs = zip(batch.column("a"), batch.column("b"), strict=True)  # a text at a time: batches hold long ones
+            ok = [reaches(one.as_py(), other.as_py(), words, percent) for one, other in pairs]
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(ok)], names=["x", "y", "ok"])
 
     texts = docs.select("text", F.xxhash64("doc_id").alias("_id")).mapInArrow(fetch, "key long, text string")

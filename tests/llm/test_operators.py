@@ -155,6 +155,19 @@ def test_jaccard_on_a_dense_group(spark, monkeypatch, block):
     assert 1 < len({w[2] for w in want}) < 60
 
 
+def test_reaches_compares_words():
+    """Sets of words decide, also where shingles outgrow 64 bits and are numbered anew."""
+    rnd = random.Random(5)
+    for size in (1, 3, 4, 30, 400):
+        for n_words in (1, 4, 9):
+            for percent in (80, 85, 100):
+                w = [f"w{rnd.randint(0, size)}" for _ in range(rnd.randint(1, size + 6))]
+                v = [x if rnd.random() < 0.97 else x.upper() + "y" for x in w]
+                sets = [{tuple(x[k : k + n_words]) for k in range(max(1, len(x) - n_words + 1))} for x in ([y.lower() for y in w], [y.lower() for y in v])]
+                want = 100 * len(sets[0] & sets[1]) >= percent * len(sets[0] | sets[1])
+                assert jaccard.reaches(" ".join(w), "\n ".join(v), n_words, percent) == want
+
+
 def test_signatures_meet():
     """Sets at the threshold share a signature, whatever the levels of their shingles."""
     rng = np.random.default_rng(4)
