@@ -37,3 +37,8 @@ def half_away(x: Column) -> Column:
 def div(a: Column, b: int) -> Column:
     """Integer quotient of non-negative integers."""
     return F.floor(a / b).cast("int")
+
+
+def format_datetime(at: Column) -> Column:
+    """A time as the containers write it, in the session's time zone."""
+    return F.date_format(at, "yyyy:MM:dd HH:mm:ss")

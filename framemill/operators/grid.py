@@ -67,8 +67,11 @@ def as_arrays(blended: DataFrame, fade: DataFrame) -> DataFrame:
     return s.join(f, "frame_id")
 
 
-def gain(width: int, height: int) -> Column:
-    """The shading gain of a pixel from the arrays _s and _f of its frame."""
+def gain(width: int, height: int, odd_ends: bool = True) -> Column:
+    """The shading gain of a pixel from the arrays _s and _f of its frame.
+
+    With odd_ends the last row or column of an odd frame, which has no partner, keeps gain 1.
+    """
     def place(at: Column, size: int, cells: int) -> tuple[Column, Column]:
         g = _cell(at, size, cells)
         i = clamp(g.cast("int"), 0, cells - 2).cast("int")
@@ -82,4 +85,8 @@ def gain(width: int, height: int) -> Column:
     (ty, gy), (tx, gx) = place(y - y % 2, height, fixed.GRID_H), place(x - x % 2, width, fixed.GRID_W)
     fade_at = lambda dy: F.get("_f", (ty + dy) * 9 + tx) * (1.0 - gx) + F.get("_f", (ty + dy) * 9 + tx + 1) * gx
     t = clamp(fade_at(0) * (1.0 - gy) + fade_at(1) * gy, 0.0, 1.0)
-    return 1.0 + (1.0 / shade - 1.0) * (1.0 - t)
+    out = 1.0 + (1.0 / shade - 1.0) * (1.0 - t)
+    for at, size in ((y, height), (x, width)):
+        if odd_ends and size % 2:
+            out = F.when(at == size - 1, 1.0).otherwise(out)
+    return out

@@ -266,6 +266,12 @@ SELECT CAST(my AS INT) AS my, CAST(mx AS INT) AS mx, CAST(block AS INT) AS block
     "frame_messages": f"{_FRAMED} SELECT seq, n AS body_len, wire FROM f",
     "message_chunks": f"{_FRAMED}, c AS (SELECT seq, wire, unnest(range((length(wire) // 2 - 1) // 16 + 1)) AS chunk FROM f) SELECT seq, CAST(chunk AS INT) AS chunk, substr(wire, chunk * 32 + 1, 32) AS data FROM c",
     "sink_route": "WITH m AS (SELECT event_id AS seq, user_id % 3 = 0 AS peer, CASE WHEN event_id % 4 <> 0 THEN 'out.d/f' || event_id || CASE WHEN event_id % 2 = 0 THEN '.dng' ELSE '' END END AS path FROM events) SELECT seq, CASE WHEN peer THEN 'stream' WHEN path IS NOT NULL THEN 'file' ELSE 'noop' END AS sink, CASE WHEN path IS NOT NULL THEN 'out.d/f' || seq || '.jpg' END AS jpeg FROM m",
+    "dng_strip": f"WITH {_C1} SELECT y AS part, string_agg(printf('%02x%02x', v % 256, v // 256), '' ORDER BY x) AS data FROM c1 GROUP BY y",
+    "has_peer": """WITH m AS (SELECT event_id % 7 AS endpoint, ts, event_id AS seq, user_id % 5 AS peer, event_type <> 'purchase' AS open FROM events WHERE user_id * 37 % 14000 + 8000 BETWEEN 10000 AND 19999),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY ts DESC, seq DESC) AS k FROM m WHERE open) WHERE k = 1),
+s AS (SELECT endpoint, EXISTS (SELECT 1 FROM m WHERE NOT m.open AND m.endpoint = n.endpoint AND m.peer = n.peer AND (m.ts, m.seq) > (n.ts, n.seq)) AS gone, peer FROM n)
+SELECT e.endpoint, CASE WHEN NOT gone THEN peer END AS peer, coalesce(NOT gone, false) AS has_peer FROM (SELECT DISTINCT endpoint FROM m) e LEFT JOIN s USING (endpoint)""",
+    "shot_datetime": "SELECT event_id, strftime(ts, '%Y:%m:%d %H:%M:%S') AS datetime FROM events",
     "peer_latest": "SELECT arg_max(user_id, (ts, event_id)) AS peer, max(ts) AS since, count(*) AS connections FROM events",
 }
 

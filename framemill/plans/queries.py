@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.exprs import le_bytes, u32_at
-from ..operators import grid, jpeg, pointwise, stencil, tiff, wavelet
+from ..functions.exprs import format_datetime, le_bytes, u32_at
+from ..operators import files, grid, jpeg, pointwise, stencil, tiff, wavelet
 from ..sources import bridges, raw
 from ..streaming import delivery
+from . import develop
 
 Query = Callable[[SparkSession, str], DataFrame]
 W = bridges.WIDTH
@@ -331,12 +332,40 @@ def ifd_exif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.app1(_shots(spark, sf_dir)).select("frame_id", F.hex("segment").alias("segment"))
 
 
+def dng_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.dng_strip(plain(spark, sf_dir)).select("part", F.lower(F.hex("data")).alias("data"))
+
+
+def developed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain with the deployed look."""
+    height = _height(spark, sf_dir)
+    return develop.develop(bridges.bayer_structured(spark, sf_dir), W, height, develop.DEPLOYED, _calibration(spark), 0.5).select("y", "x", "r", "g", "b")
+
+
+def jpeg_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of a JPEG of the bilinear plane."""
+    return files.jpeg_file(_rgb8(spark, sf_dir), W, _height(spark, sf_dir), 75).select("part", F.lower(F.hex("data")).alias("data"))
+
+
+def has_peer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven endpoints; purchases end a connection, and some user ids are no app's."""
+    m = spark.read.parquet(f"{sf_dir}/events.parquet")
+    uid = F.col("user_id") * 37 % 14000 + 8000
+    m = m.select((F.col("event_id") % 7).alias("endpoint"), "ts", F.col("event_id").alias("seq"), (F.col("user_id") % 5).alias("peer"), (F.col("event_type") != "purchase").alias("open"), uid.alias("uid"))
+    return delivery.has_peer(delivery.admitted(m))
+
+
+def shot_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that the containers hold, of every event's time."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", format_datetime(F.col("ts")).alias("datetime"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         black_wb_stats, black_wb, bayer_structured, unpack10_documents, unpack10_pages, read_u32, header_fields, wb_gains, wb_ratio, exif_fields, lsc_parse, lsc_warmth,
         lsc_blend, lsc_cell_max, lsc_safe_fraction, fade_smooth, black_wb_lsc, hadamard_fwd, hadamard_roundtrip, haar_levels, mad_sigma, band_stddev, bayes_shrink,
         bayer_nr, demosaic_border, demosaic_mhc, color_matrix, exposure, saturation, tone_gamma, luma709_fixed, blur_h, blur_v, unsharp, rgb_to_ycc, chroma_420,
-        quality_table, huff_table, fdct8x8, quantize_zigzag, dc_delta, ac_rle, bit_pack, frame_messages, message_chunks, sink_route, peer_latest, ifd_dng, ifd_exif,
+        quality_table, huff_table, fdct8x8, quantize_zigzag, dc_delta, ac_rle, bit_pack, frame_messages, message_chunks, sink_route, peer_latest, ifd_dng, ifd_exif, dng_strip, developed, jpeg_file, has_peer, shot_datetime,
     )
 }

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.exprs import le_bytes
 
@@ -38,6 +38,32 @@ def jpeg_path(path: Column) -> Column:
     return F.concat(F.regexp_replace(path, "\\.[^./]*$", ""), F.lit(".jpg"))
 
 
+def admitted(connections: DataFrame) -> DataFrame:
+    """Connections whose column uid is that of an app; others are closed at once and replace nobody."""
+    return connections.filter(F.col("uid").between(LOWEST_UID, HIGHEST_UID))
+
+
+def has_peer(events: DataFrame) -> DataFrame:
+    """events (endpoint, ts, seq, peer, open) -> endpoint, peer, has_peer.
+
+    A connection replaces the one before; an end counts only if it is that of the newest
+    connection, as an older one has been closed already.
+    """
+    at = F.struct("ts", "seq")
+    newest = events.groupBy("endpoint").agg(F.max_by("peer", F.when(F.col("open"), at)).alias("_peer"), F.max(F.when(F.col("open"), at)).alias("_since"))
+    ends = events.filter(~F.col("open")).groupBy("endpoint", "peer").agg(F.max(at).alias("_end")).withColumnRenamed("peer", "_peer")
+    on = F.col("_peer").isNotNull() & (F.col("_end").isNull() | (F.col("_end") < F.col("_since")))
+    return newest.join(ends, ["endpoint", "_peer"], "left").select("endpoint", F.when(on, F.col("_peer")).alias("peer"), on.alias("has_peer"))
+
+
+def start(stream: DataFrame, name: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """The running query of that name, started if there is none: a second start changes nothing."""
+    for query in stream.sparkSession.streams.active:
+        if query.name == name:
+            return query
+    return stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(sink).start()
+
+
 def newest_peer(events: DataFrame) -> DataFrame:
     """One row: the peer that connected last; ties go to the larger sequence number."""
     return events.agg(F.max_by("peer", F.struct("ts", "seq")).alias("peer"), F.max("ts").alias("since"), F.count(F.lit(1)).alias("connections"))
