@@ -8,6 +8,14 @@ documents or of the counters alone touch little.  The place of a document among
 all ids is the sum of the files before it, read from the counters, plus its
 place in its file.
 
+The library encodes everything, but it need not see a common word again and
+again.  Where a tokenizer's pieces end at a space anyway (``cuttable``), texts are
+cut before spaces and the ids of short pieces are remembered; pieces that are new
+go to the library joined, and its ids are dealt out again at those that begin with
+a space.  A cut needs a character before the space that is white space in no
+version of Unicode; where there is none, the text stays in one piece.  Other
+tokenizers get whole texts.
+
 Defined cases: a null or empty text is its end id alone; rows without id come
 first; equal ids keep together, ordered by their texts; an empty table gives
 files without rows.
@@ -15,7 +23,7 @@ files without rows.
 
 from __future__ import annotations
 
-import os
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -40,6 +48,11 @@ ROW_GROUP = 16 << 20
 PAGE = 64 << 10
 PAGE_ROWS = 2000
 STEP = 1 << 20
+#: Pieces that a worker remembers, and the longest of them.
+REMEMBERED = 200_000
+LONGEST = 64
+# No cut after these characters, which are or once were white space, or are controls.
+NO_CUT = frozenset(map(chr, [*range(0x21), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]))
 
 
 @lru_cache(maxsize=2)
@@ -54,6 +67,87 @@ def library(spec: bytes) -> Tokenizer:
     return made
 
 
+def cuttable(spec: bytes) -> bool:
+    """Whether the tokenizer's ids on the two sides of a space after a visible character never depend on each other."""
+    made = json.loads(spec)
+    before, model = made.get("pre_tokenizer") or {}, made["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    added = made.get("added_tokens") or []
+    alone = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in added)
+    return bool(plain and alone and not made.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout"))
+
+
+class Coder:
+    """Ids of texts, as the library gives them for whole texts."""
+
+    def __init__(self, spec: bytes) -> None:
+        self.made, self.cut, self.known = library(spec), cuttable(spec), {}
+        vocabulary = self.made.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        self.begins[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True  # the byte of a space
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def sections(self, text: str) -> Iterator[str]:
+        """The text, in parts of some STEP characters where it can be cut."""
+        start, at = 0, STEP
+        while (at := text.find(" ", at)) >= 0:
+            if text[at - 1] in NO_CUT:
+                at += 1
+                continue
+            yield text[start:at]
+            start, at = at, at + STEP
+        yield text[start:]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        if not self.cut:
+            return [ids.tobytes() for ids in self.library(texts)]
+        return [b"".join(self.pieces([part])[0] for part in self.sections(t)) for t in texts] if any(len(t) > STEP for t in texts) else self.pieces(texts)
+
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        get, fresh, single, plans = self.known.get, {}, [], []
+        for text in texts:
+            parts = text.split(" ")
+            ids = [get(p) for p in parts]
+            ids[0] = None  # no space before it
+            late, end = [], 0  # places to fill, with a word's name or a place in single
+            for i in [i for i, v in enumerate(ids) if v is None]:
+                if i < end:
+                    continue
+                word = parts[i]
+                if i and word and len(word) <= LONGEST and word[-1] not in NO_CUT:
+                    fresh[word] = b""
+                    late.append((i, word))
+                    continue
+                end = i + 1
+                while end < len(parts) and (not parts[end - 1] or parts[end - 1][-1] in NO_CUT):
+                    end += 1
+                late.append((i, len(single)))
+                single.append((" " if i else "") + " ".join(parts[i:end]))
+                ids[i:end] = [b""] * (end - i)
+            plans.append((ids, late))
+        if fresh:
+            (flat,) = self.library([" " + " ".join(fresh)])
+            cuts = np.flatnonzero(self.begins[flat])
+            if len(cuts) != len(fresh) or cuts[0]:
+                raise ValueError("the tokenizer does not begin a piece at each space")
+            raw, at = flat.tobytes(), [*(4 * cuts).tolist(), 4 * len(flat)]
+            for k, word in enumerate(fresh):
+                fresh[word] = raw[at[k] : at[k + 1]]
+        ones = [x.tobytes() for x in self.library(single)] if single else []
+        out = []
+        for ids, late in plans:
+            for i, what in late:
+                ids[i] = fresh[what] if isinstance(what, str) else ones[what]
+            out.append(b"".join(ids))
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+        self.known.update(fresh)
+        return out
+
+
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, files: int | None = None) -> None:
     """Encode docs (doc_id, text) and write them to path.  Columns: part, doc_id, first (its place in the file), n_tokens, ids."""
     files = files or spread(docs.sparkSession)
@@ -63,12 +157,12 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, fi
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())  # a few MB; the workers need not have the file
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, at = library(spec.value), TaskContext.get().partitionId(), 0
+        coder, part, at = Coder(spec.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi, _, _ in kernel.chunks(batch.column("text"), STEP):
                 rows = batch.slice(lo, hi - lo)
                 texts = [t or "" for t in rows.column("text").to_pylist()]
-                coded = [np.asarray(e.ids, "<u4").tobytes() + tail for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
+                coded = [ids + tail for ids in coder.encode(texts)]
                 counts = np.array([len(c) // 4 for c in coded], "i8")
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 flat = np.frombuffer(b"".join(coded), "<i4")

@@ -307,10 +307,9 @@ def test_every_code_point_as_the_library_has_it(name):
     some = (c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) not in ("Cn", "Co") or ord(c) % 97 == 0)
     texts = [f"a{c}b {c} x{c} {c}{c}Y'{c}s {c}1" for c in some] + ["q" * 3000, "ab" * 40 + "\u0301" * 50, "<|endoftext|> x<|startoftext|>y"]
     want = [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-    if name.startswith("word"):
-        coder = bpe.Codec(spec)
-        got = [y for k in range(0, len(texts), 1000) for y in coder.encode(texts[k : k + 1000])]
-        assert got == want
+    coder = (bpe.Codec if name.startswith("word") else token_files.Coder)(spec)
+    got = [y for k in range(0, len(texts), 1000) for y in coder.encode(texts[k : k + 1000])]
+    assert got == want
     ids = [np.frombuffer(w, "<u4") for w in want[:500]]
     if name.startswith("word"):
         ends = np.cumsum([0, *map(len, ids)])
@@ -318,6 +317,24 @@ def test_every_code_point_as_the_library_has_it(name):
         assert coder.decode(lists).to_pylist() == [library.decode(i.tolist(), skip_special_tokens=False) for i in ids]
 
 
+def test_cut_texts_have_the_ids_of_whole_ones(monkeypatch):
+    from pathlib import Path
+
+    spec = Path(tokenizer("byte_bpe_50k.json")).read_bytes()
+    coder, library = token_files.Coder(spec), token_files.library(spec)
+    assert coder.cut and not token_files.cuttable(Path(tokenizer("word_bpe_49k.json")).read_bytes())
+    rnd = random.Random(3)
+    bits = [*" \n\t\r.'sab1<|>", " the", "  ", "\u00a0", "\u2003", "\u3000", "\u180e", "\x85", "\x1c", "\u00e9", "\u0120", "<|endoftext|>", " <|endoftext|> ", "q" * 70]
+    texts = ["".join(rnd.choices(bits, k=rnd.randint(0, 40))) for _ in range(4000)]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert coder.encode(texts) == want and coder.encode(texts) == want  # the second time from memory
+    monkeypatch.setattr(token_files, "REMEMBERED", 20)
+    assert [y for t in texts for y in coder.encode([t])] == want
+    monkeypatch.setattr(token_files, "STEP", 50)
+    long = ["".join(texts[k : k + 200]) for k in range(0, 4000, 200)]
+    assert coder.encode(long) == [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(long, add_special_tokens=False)]
+
+
 def test_token_files(docs, spark):
     from tokenizers import Tokenizer
 
