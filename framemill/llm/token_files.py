@@ -48,7 +48,7 @@ ROW_GROUP = 16 << 20
 PAGE = 64 << 10
 PAGE_ROWS = 2000
 STEP = 1 << 20
-#: Pieces that a worker remembers, and the longest of them.
+#: Pieces of a generation, of which a worker remembers two, and the longest of them.
 REMEMBERED = 200_000
 LONGEST = 64
 # No cut after these characters, which are or once were white space, or are controls.
@@ -81,7 +81,7 @@ class Coder:
     """Ids of texts, as the library gives them for whole texts."""
 
     def __init__(self, spec: bytes) -> None:
-        self.made, self.cut, self.known = library(spec), cuttable(spec), {}
+        self.made, self.cut, self.known, self.older = library(spec), cuttable(spec), {}, {}
         vocabulary = self.made.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(1 + max(vocabulary.values(), default=0), bool)
         self.begins[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True  # the byte of a space
@@ -107,7 +107,7 @@ class Coder:
         return [b"".join(self.pieces([part])[0] for part in self.sections(t)) for t in texts] if any(len(t) > STEP for t in texts) else self.pieces(texts)
 
     def pieces(self, texts: list[str]) -> list[bytes]:
-        get, fresh, single, plans = self.known.get, {}, [], []
+        get, older, fresh, again, single, plans = self.known.get, self.older.get, {}, {}, [], []
         for text in texts:
             parts = text.split(" ")
             ids = [get(p) for p in parts]
@@ -117,6 +117,9 @@ class Coder:
                 if i < end:
                     continue
                 word = parts[i]
+                if i and (ids_of := older(word)) is not None:
+                    ids[i] = again[word] = ids_of
+                    continue
                 if i and word and len(word) <= LONGEST and word[-1] not in NO_CUT:
                     fresh[word] = b""
                     late.append((i, word))
@@ -142,12 +145,18 @@ class Coder:
             for i, what in late:
                 ids[i] = fresh[what] if isinstance(what, str) else ones[what]
             out.append(b"".join(ids))
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-        self.known.update(fresh)
+        if len(self.known) + len(fresh) + len(again) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        self.known.update(fresh | again)
         return out
 
 
+@lru_cache(maxsize=2)
+def coder_of(spec: bytes) -> Coder:
+    """The worker's coder, which keeps what it remembers from task to task."""
+    return Coder(spec)
+
+
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, files: int | None = None) -> None:
     """Encode docs (doc_id, text) and write them to path.  Columns: part, doc_id, first (its place in the file), n_tokens, ids."""
     files = files or spread(docs.sparkSession)
@@ -157,7 +166,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, fi
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())  # a few MB; the workers need not have the file
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, at = Coder(spec.value), TaskContext.get().partitionId(), 0
+        coder, part, at = coder_of(spec.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi, _, _ in kernel.chunks(batch.column("text"), STEP):
                 rows = batch.slice(lo, hi - lo)
