@@ -10,7 +10,9 @@ A stream that is used up starts again.
 Positions (of a word in its stream, of a slot among its source's slots) are
 prefix sums in two levels: counts per (source, bucket) first, then windows
 inside one bucket.  No task ever holds a source, however hot it is.  The only
-one-task step is over the table of sources, one row each.
+one-task step is over the table of sources, one row each.  Sources, counts and the
+schedule are written as small tables on the way: one plan of them all costs the driver
+more memory than its parts, in threads of exchanges and in generated code.
 
 Defined cases: a null text has size 0 and is never taken; the null source is a
 source, the last one; sources of size 0 have target 0; repeated rows are
@@ -24,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, materialise, packed, unpacked
+from .shared import SPACE, materialise, packed, settle, unpacked
 
 #: Words in a block, words in a bucket of a source's stream about (there are LEAST_BUCKETS at least), slots that are ranked together.
 BLOCK = 256
@@ -79,7 +81,7 @@ def streams(docs: DataFrame, sources: DataFrame, seed: str = "mix") -> DataFrame
     d = d.withColumn("_key", key).withColumn("_bucket", (F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / SPAN).cast("int"))
     sums = d.groupBy("src", "_bucket").agg(F.sum("size").alias("_n"))
     earlier = Window.partitionBy("src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("src", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    sums, _ = materialise(sums.select("src", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base")), "mix-buckets")
     inside = Window.partitionBy("src", "_bucket").orderBy("_key", "doc_id", "size", "_text").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return d.join(sums, ["src", "_bucket"]).withColumn("start", F.col("_base") + F.col("_inside")).drop("_base", "_inside", "_bucket", "_key", "_text")
@@ -101,7 +103,7 @@ def schedule(sources: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> Data
     s = s.withColumn("_high", F.sum("_need").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_need").over(whole))
     # 32-bit points: source src owns [_from, _to).
     s = s.withColumn("_to", F.floor(F.col("_high") / F.col("_all") * SPAN)).withColumn("_from", F.floor((F.col("_high") - F.col("_need")) / F.col("_all") * SPAN))
-    s = s.withColumn("_cells", F.count(F.lit(1)).over(whole) * 16)
+    s, _ = materialise(s.withColumn("_cells", F.count(F.lit(1)).over(whole) * 16), "mix-goals")
     cell = lambda x: F.floor(x * F.col("_cells") / SPAN)
     cells = s.withColumn("_cell", F.explode(F.sequence(cell(F.col("_from")), F.greatest(cell(F.col("_from")), cell(F.col("_to") - 1)))))
     total = s.agg(F.max("_all"), F.max("_cells")).first()
@@ -112,7 +114,8 @@ def schedule(sources: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> Data
     dealt = dealt.join(plan, "_cell").filter((F.col("_point") >= F.col("_from")) & (F.col("_point") < F.col("_to"))).select("slot", "src", F.floor(F.col("slot") / chunk).alias("_chunk"))
     counts = dealt.groupBy("src", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("src").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("src", "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    counts, _ = materialise(counts.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))), "mix-counts")
+    base = counts.drop("_n")
     rank = F.row_number().over(Window.partitionBy("src", "_chunk").orderBy("slot")) - 1
     dealt = dealt.withColumn("_rank", rank).join(base, ["src", "_chunk"]).select("slot", "src", (F.col("_rank") + F.col("_base")).alias("_k"))
     have = counts.groupBy("src").agg(F.sum("_n").alias("_have"))
@@ -144,7 +147,10 @@ def place(docs: DataFrame, keep: tuple[str, ...] = (), block: int = BLOCK) -> tu
     """The placed documents (doc_id, size, source, keep, src, source_size, target, start) and the schedule."""
     d, _ = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), *keep), "mix-sizes")
     sources, _ = materialise(source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size"))).repartition(1), "mix-sources")
-    return streams(d, sources.drop("weight")), schedule(sources, block)
+    slots, _ = materialise(schedule(sources, block), "mix-slots")
+    placed = streams(d, sources.drop("weight"))
+    settle(d.sparkSession)
+    return placed, slots
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:

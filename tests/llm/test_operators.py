@@ -239,6 +239,17 @@ def test_mixed_rows_hold_what_the_mix_takes(docs):
     assert {k: v for k, v in taken.items() if v} == dict(got)
 
 
+def test_mixing_in_small_plans(docs):
+    """What the driver has to plan and compile at once: the tables of sources, counts and slots are read, not derived again."""
+    plan = mixing.mixed(docs, block=16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 10 and len(re.findall(r"\bWindow ", plan)) <= 1
+
+
+def test_freed_memory_goes_back(spark):
+    offers = spark.sparkContext._jvm.java.lang.System.getProperty("os.name") == "Linux" and spark.sparkContext._jvm.java.lang.Runtime.version().feature() >= 17
+    assert not offers or "rim native heap" in shared.trim_native(spark)
+
+
 def test_quality_measures(docs):
     for r in quality_rules.cascade(docs).collect():
         w = words(r["text"])
