@@ -12,7 +12,7 @@ The library encodes everything, but it need not see a common word again and
 again.  Where a tokenizer's pieces end at a space anyway (``cuttable``), texts are
 cut before spaces and the ids of short pieces are remembered; pieces that are new
 go to the library joined, and its ids are dealt out again at those that begin with
-a space.  A cut needs a character before the space that is white space in no
+a space; a word that ends in a mark is remembered without it.  A cut needs a character before the space that is white space in no
 version of Unicode; where there is none, the text stays in one piece.  Other
 tokenizers get whole texts.
 
@@ -23,6 +23,7 @@ files without rows.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import zlib
@@ -33,6 +34,7 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,6 +55,9 @@ REMEMBERED = 200_000
 LONGEST = 64
 # No cut after these characters, which are or once were white space, or are controls.
 NO_CUT = frozenset(map(chr, [*range(0x21), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]))
+# A mark that ends a word after one of these letters is a piece by itself, whatever the version of Unicode.
+MARKS = ".,;:!?"
+LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha())
 
 
 @lru_cache(maxsize=2)
@@ -85,6 +90,8 @@ class Coder:
         vocabulary = self.made.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(1 + max(vocabulary.values(), default=0), bool)
         self.begins[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True  # the byte of a space
+        added = "".join(t.content for t in self.made.get_added_tokens_decoder().values())
+        self.marks = {m: ids.tobytes() for m, ids in zip(MARKS, self.library([*MARKS]), strict=True) if m not in added} if self.cut else {}
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,48 +114,65 @@ class Coder:
         return [b"".join(self.pieces([part])[0] for part in self.sections(t)) for t in texts] if any(len(t) > STEP for t in texts) else self.pieces(texts)
 
     def pieces(self, texts: list[str]) -> list[bytes]:
-        get, older, fresh, again, single, plans = self.known.get, self.older.get, {}, {}, [], []
-        for text in texts:
-            parts = text.split(" ")
-            ids = [get(p) for p in parts]
-            ids[0] = None  # no space before it
-            late, end = [], 0  # places to fill, with a word's name or a place in single
-            for i in [i for i, v in enumerate(ids) if v is None]:
-                if i < end:
-                    continue
-                word = parts[i]
-                if i and (ids_of := older(word)) is not None:
-                    ids[i] = again[word] = ids_of
-                    continue
-                if i and word and len(word) <= LONGEST and word[-1] not in NO_CUT:
-                    fresh[word] = b""
-                    late.append((i, word))
-                    continue
-                end = i + 1
-                while end < len(parts) and (not parts[end - 1] or parts[end - 1][-1] in NO_CUT):
-                    end += 1
-                late.append((i, len(single)))
-                single.append((" " if i else "") + " ".join(parts[i:end]))
-                ids[i:end] = [b""] * (end - i)
-            plans.append((ids, late))
+        parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        at, coded = parts.offsets.to_numpy(), parts.values.dictionary_encode()
+        words, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        ids, again, fresh, marked, apart = [self.known.get(w) for w in words], {}, {}, [], []
+        for i in [i for i, v in enumerate(ids) if v is None]:
+            word = words[i]
+            if (ids_of := self.older.get(word)) is not None:
+                ids[i] = again[word] = ids_of
+            elif word[-1:] in self.marks and word[-2:-1] in LETTERS and len(word) <= LONGEST:
+                stem = word[:-1]
+                if (ids_of := self.known.get(stem) or self.older.get(stem)) is None:
+                    fresh.setdefault(stem, -1)
+                    marked.append((i, stem))
+                else:
+                    again[stem], ids[i] = ids_of, ids_of + self.marks[word[-1]]
+            elif word and len(word) <= LONGEST and word[-1] not in NO_CUT:
+                fresh[word] = i
+            else:
+                apart.append(i)
         if fresh:
             (flat,) = self.library([" " + " ".join(fresh)])
             cuts = np.flatnonzero(self.begins[flat])
             if len(cuts) != len(fresh) or cuts[0]:
                 raise ValueError("the tokenizer does not begin a piece at each space")
-            raw, at = flat.tobytes(), [*(4 * cuts).tolist(), 4 * len(flat)]
-            for k, word in enumerate(fresh):
-                fresh[word] = raw[at[k] : at[k + 1]]
-        ones = [x.tobytes() for x in self.library(single)] if single else []
-        out = []
-        for ids, late in plans:
-            for i, what in late:
-                ids[i] = fresh[what] if isinstance(what, str) else ones[what]
-            out.append(b"".join(ids))
+            raw, ends = flat.tobytes(), [*(4 * cuts).tolist(), 4 * len(flat)]
+            for k, (word, i) in enumerate(fresh.items()):
+                fresh[word] = raw[ends[k] : ends[k + 1]]
+                if i >= 0:
+                    ids[i] = fresh[word]
+            for i, stem in marked:
+                ids[i] = fresh[stem] + self.marks[words[i][-1]]
+        # Alone: the first part of a text, which has no space before it, and parts that are not remembered, with those that they cannot be cut from.
+        alone = np.zeros(len(words), bool)
+        alone[apart] = True
+        alone = alone[place]
+        alone[at[:-1]] = True
+        bound, single, last, done = at[1:].tolist(), [], 0, 0
+        names = place.tolist() if len(apart) else None
+        for i in np.flatnonzero(alone).tolist():
+            if i < done:
+                continue
+            while bound[last] <= i:
+                last += 1
+            first, done = i == (bound[last - 1] if last else 0), i + 1
+            text = [words[names[i] if names else place[i]]]
+            while done < bound[last] and (not text[-1] or text[-1][-1] in NO_CUT):
+                text.append(words[names[done] if names else place[done]])
+                done += 1
+            place[i], place[i + 1 : done] = len(ids) + len(single), -1
+            single.append(("" if first else " ") + " ".join(text))
+        ids += [x.tobytes() for x in self.library(single)] if single else []
+        ids.append(b"")
+        place[place < 0] = len(ids) - 1
+        _, ends, raw = pa.array(ids, pa.binary()).take(pa.array(place)).buffers()
+        ends, raw = np.frombuffer(ends, np.int32)[at], raw.to_pybytes() if raw else b""
         if len(self.known) + len(fresh) + len(again) > REMEMBERED:
             self.older, self.known = self.known, {}
         self.known.update(fresh | again)
-        return out
+        return [raw[a:b] for a, b in itertools.pairwise(ends.tolist())]
 
 
 @lru_cache(maxsize=2)

@@ -346,6 +346,20 @@ def test_cut_texts_have_the_ids_of_whole_ones(monkeypatch):
     assert coder.encode(long) == [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(long, add_special_tokens=False)]
 
 
+def test_the_library_sees_a_word_once_with_all_its_marks(monkeypatch):
+    from pathlib import Path
+
+    spec = Path(tokenizer("byte_bpe_50k.json")).read_bytes()
+    coder, library, seen = token_files.Coder(spec), token_files.library(spec), []
+    stems = ["Stra\u00dfe", "don't", "na\u00efve", "a.b", "\u0133", "x1", "\u03a3", "e\u0301", "..", "<|endoftext|"]
+    texts = ["x " + "  ".join(f"{w}{m}" for w in stems for m in ["", *".,;:!?", "\n", "?!"]) + end for end in ("", " ", ",", " end.")]
+    monkeypatch.setattr(coder, "library", lambda given: seen.extend(given) or token_files.Coder.library(coder, given))
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert coder.encode(texts) == want and [coder.encode([t])[0] for t in texts] == want
+    assert coder.encode(["x word word, word. word"]) and coder.encode(["x word; word word!"])
+    assert sum(t.count("word") for t in seen) == 1
+
+
 def test_token_files(docs, spark):
     from tokenizers import Tokenizer
 
