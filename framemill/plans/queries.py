@@ -107,8 +107,10 @@ def exif_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lsc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = raw.lsc_slots(headers(spark, sf_dir).select("frame_id", "header"))
-    return s.groupBy("illum", "ch", "gy", "gx").agg(F.count(F.lit(1)).alias("frames"), F.max("shading").alias("shading"))
+    """Equal tables are counted first, so a table is parsed once for all of its frames."""
+    tables = headers(spark, sf_dir).groupBy(raw.lsc_table(F.col("header")).alias("table")).agg(F.count(F.lit(1)).alias("frames"))
+    s = raw.lsc_cells(tables, "frames")
+    return s.groupBy("illum", "ch", "gy", "gx").agg(F.sum("frames").alias("frames"), F.max("shading").alias("shading"))
 
 
 def lsc_warmth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,15 +55,26 @@ def exif_fields(header: Column) -> Column:
     return F.struct(exposure.alias("exposure_us"), iso.alias("iso"), *[F.lit(v).alias(n) for n, v in (("fnum_n", 2), ("fnum_d", 1), ("focal_n", 49), ("focal_d", 10))])
 
 
+def lsc_table(header: Column) -> Column:
+    """The bytes of the eight slots; null where the header is short."""
+    size = 8 * LSC_STRIDE
+    return F.when(F.octet_length(header) >= LSC_OFFSET + size, F.substring(header, LSC_OFFSET + 1, size))
+
+
+def lsc_cells(tables: DataFrame, *keys: str) -> DataFrame:
+    """tables (keys, table) -> keys, illum, ch, gy, gx, shading; no rows where a slot is bad, which is decided before there are cells."""
+    ok = F.octet_length("table") >= 8 * LSC_STRIDE
+    for at in range(1, 8 * LSC_STRIDE, LSC_STRIDE):
+        ok &= (F.substring("table", at + 31, 1) == F.lit(bytes([128]))) & ~F.contains(F.substring("table", at, LSC_CELLS), F.lit(bytes(1)))
+    cells = tables.withColumn("slot", F.explode(F.when(ok, F.sequence(F.lit(0), F.lit(7))))).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(LSC_CELLS - 1))))
+    raw = byte_at(F.col("table"), F.col("slot") * LSC_STRIDE + F.col("cell"))
+    illum = F.when(F.col("slot") < 4, "A").otherwise("B")
+    return cells.select(*keys, illum.alias("illum"), (F.col("slot") % 4).alias("ch"), F.floor(F.col("cell") / 9).cast("int").alias("gy"), (F.col("cell") % 9).alias("gx"), (raw / 128.0).alias("shading"))
+
+
 def lsc_slots(frames: DataFrame) -> DataFrame:
     """frames (frame_id, header) -> frame_id, illum, ch, gy, gx, shading; no rows where a slot is bad."""
-    cells = frames.filter(F.octet_length("header") >= LSC_OFFSET + 8 * LSC_STRIDE)
-    cells = cells.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(LSC_CELLS - 1))))
-    cells = cells.withColumn("raw", byte_at(F.col("header"), F.lit(LSC_OFFSET) + F.col("slot") * LSC_STRIDE + F.col("cell"))).drop("header")
-    good = cells.groupBy("frame_id").agg((F.bool_and(F.col("raw") > 0) & F.bool_and((F.col("cell") != 31) | (F.col("raw") == 128))).alias("_ok")).filter("_ok")
-    cells = cells.join(good, "frame_id", "left_semi")
-    illum = F.when(F.col("slot") < 4, "A").otherwise("B")
-    return cells.select("frame_id", illum.alias("illum"), (F.col("slot") % 4).alias("ch"), F.floor(F.col("cell") / 9).cast("int").alias("gy"), (F.col("cell") % 9).alias("gx"), (F.col("raw") / 128.0).alias("shading"))
+    return lsc_cells(frames.select("frame_id", lsc_table(F.col("header")).alias("table")), "frame_id")
 
 
 def unpack10(rows: DataFrame, width: int | Column) -> DataFrame:
